@@ -23,7 +23,21 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(*token_output.write(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2))
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import sentence_pieces
+
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import sharding
+
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentence_pieces": op3_sentence_pieces,
+    "op4_sharding": op4_sharding,
     "op8_token_output": op8_token_output,
 }
 
