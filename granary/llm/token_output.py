@@ -8,9 +8,9 @@ characters, special tokens, words of over 48 bytes) goes to the library, chunk b
 
 `write` puts documents in ascending doc_id order into segment files, and `read` gives every
 document's position back from those files alone. A segment file is
-    b"IDSEG001", then 6 little-endian u64: documents, ids, first global position,
-    low bits per boundary, bytes of low bits, bytes of high bits;
-    doc_ids (i64 each; the least i64 stands for null); low bits; high bits; ids (u32 each).
+    b"IDSEG001", then 6 little-endian u64: documents, ids, bytes per id (2 where the vocabulary
+    has at most 65,536 ids, else 4), low bits per boundary, bytes of low bits, bytes of high bits;
+    doc_ids (i64 each; the least i64 stands for null); low bits; high bits; ids.
 The n + 1 boundaries of a segment are kept by Elias-Fano: `low` bits of each in a packed array,
 the rest in unary in a bit vector, 2 + low bits a document; `select` finds a boundary from
 sampled positions of ones.
@@ -97,10 +97,11 @@ class EliasFano:
 
 # --- segment files --------------------------------------------------------------------------
 
-def pack_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, start: int = 0) -> bytes:
+def pack_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """`ids` are little-endian u2 or u4, and stay so."""
     bounds = EliasFano.of(np.concatenate([[0], np.cumsum(lengths)]))
-    head = np.array([len(doc_ids), len(ids), start, bounds.low, len(bounds.lows), len(bounds.highs)], "<u8")
-    return b"".join([MAGIC, head.tobytes(), np.asarray(doc_ids, "<i8").tobytes(), bounds.lows.tobytes(), bounds.highs.tobytes(), np.asarray(ids, "<u4").tobytes()])
+    head = np.array([len(doc_ids), len(ids), ids.dtype.itemsize, bounds.low, len(bounds.lows), len(bounds.highs)], "<u8")
+    return b"".join([MAGIC, head.tobytes(), np.asarray(doc_ids, "<i8").tobytes(), bounds.lows.tobytes(), bounds.highs.tobytes(), ids.tobytes()])
 
 
 class Segment:
@@ -109,13 +110,13 @@ class Segment:
     def __init__(self, raw: bytes) -> None:
         if raw[:8] != MAGIC:
             raise ValueError("not a segment of token ids")
-        n, n_ids, self.start, low, n_low, n_high = (int(x) for x in np.frombuffer(raw, "<u8", 6, 8))
+        n, n_ids, width, low, n_low, n_high = (int(x) for x in np.frombuffer(raw, "<u8", 6, 8))
         at = 56
         self.doc_ids = np.frombuffer(raw, "<i8", n, at)
         lows = np.frombuffer(raw, np.uint8, n_low, at := at + 8 * n)
         highs = np.frombuffer(raw, np.uint8, n_high, at := at + n_low)
         self.bounds = EliasFano(n + 1, low, lows, highs)
-        self.ids = np.frombuffer(raw, "<u4", n_ids, at + n_high)
+        self.ids = np.frombuffer(raw, f"<u{width}", n_ids, at + n_high)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -165,6 +166,7 @@ class WordEncoder:
         order = np.argsort(left << 20 | right, kind="stable")
         self.pairs = (left << 20 | right)[order]
         self.ranks, self.made = order.astype(np.int32), made[order]
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
@@ -296,22 +298,24 @@ class WordEncoder:
         return starts[order], ends[order], whole[order], data
 
 
-_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
+_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
 
 def encode(docs: DataFrame, file: str, end_id: int | None = None) -> DataFrame:
-    """(doc_id, ids binary: little-endian u32) of every row; a null text has the end id alone."""
+    """(doc_id, width, ids binary: little-endian, `width` bytes each) of every row; a null text has
+    the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(file)
+        width = encoder.width if end_id is None or end_id < 1 << 16 else 4
         for rows, data, at in _text.slices(batches, "text"):
             ids, counts = encoder.encode(data, at)
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 counts = counts + 1
-            ends = np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-            yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), packed], names=["doc_id", "ids"])
+            ends = np.concatenate([[0], width * np.cumsum(counts)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+            yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), pa.array(np.full(len(counts), width, np.int32)), packed], names=["doc_id", "width", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
 
@@ -342,13 +346,13 @@ def write(docs: DataFrame, file: str, end_id: int | None = None, segment_ids: in
         doc_ids: list[np.ndarray] = []
         raws: list[bytes] = []
         lengths: list[np.ndarray] = []
-        size = 0
+        size, width = 0, 4
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
             name = f"seg-{part:08d}-{number:08d}.ids"
             n = np.concatenate(lengths)
-            _save(where, name, pack_segment(np.concatenate(doc_ids), n, np.frombuffer(b"".join(raws), "<u4")))
+            _save(where, name, pack_segment(np.concatenate(doc_ids), n, np.frombuffer(b"".join(raws), f"<u{width}")))
             row = pa.RecordBatch.from_pylist([{"name": name, "part": part, "number": number, "n_docs": len(n), "n_ids": int(n.sum())}], schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             number, size = number + 1, 0
             for kept in (doc_ids, raws, lengths):
@@ -360,13 +364,14 @@ def write(docs: DataFrame, file: str, end_id: int | None = None, segment_ids: in
             packed = _text.column(batch, "ids")
             ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
             flat = packed.buffers()[2]
+            width = _text.column(batch, "width")[0].as_py()
             first = 0
             while first < len(own):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + 4 * (segment_ids - size), "right")) - 1)
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + width * (segment_ids - size), "right")) - 1)
                 doc_ids.append(own[first:last])
                 raws.append(flat.slice(int(ends[first]), int(ends[last] - ends[first])).to_pybytes() if ends[last] > ends[first] else b"")
-                lengths.append(np.diff(ends[first : last + 1]) // 4)
-                size += int(ends[last] - ends[first]) // 4
+                lengths.append(np.diff(ends[first : last + 1]) // width)
+                size += int(ends[last] - ends[first]) // width
                 first = last
                 if size >= segment_ids:
                     yield flush()
@@ -400,7 +405,7 @@ def read(where: str, manifest: DataFrame) -> DataFrame:
             for name, start in zip(_text.column(batch, "name").to_pylist(), _text.column(batch, "start").to_pylist(), strict=True):
                 segment = Segment(_load(where, name))
                 bounds = segment.bounds.all()
-                raw = memoryview(segment.ids.tobytes())
+                raw = memoryview(segment.ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 ids = pa.array(segment.doc_ids, mask=segment.doc_ids == NULL_ID)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
