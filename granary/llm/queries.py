@@ -24,6 +24,12 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(*token_output.write(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import ngram_jaccard
+
+    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import sentence_pieces
 
@@ -58,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_sharding": op4_sharding,
     "op6_decontamination": op6_decontamination,

@@ -290,9 +290,11 @@ def encode(docs: DataFrame, file: str, add_bos: bool = False, add_eos: bool = Tr
 _DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("spans_crc32", T.LongType())])
 
 
-def digests(docs: DataFrame, file: str) -> DataFrame:
+def digests(docs: DataFrame, file: str, with_ids: bool = False) -> DataFrame:
     """Encodes with an end id, decodes again, and gives per row: doc_id, n_tokens, digests of
-    the ids and of the decoded text, and the crc32 of the spans' ends (little-endian u32)."""
+    the ids and of the decoded text, the crc32 of the spans' ends (little-endian u32) and, if
+    asked for, the ids."""
+    schema = T.StructType([*_DIGESTS.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if with_ids else _DIGESTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(file)
@@ -301,6 +303,7 @@ def digests(docs: DataFrame, file: str) -> DataFrame:
             ids, ends, counts = codec.encode(data, at)
             spans = memoryview(ends.astype("<u4").tobytes())
             bounds = (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
                 [
                     _text.column(rows, "doc_id"),
@@ -308,8 +311,9 @@ def digests(docs: DataFrame, file: str) -> DataFrame:
                     pa.array([hexed(x) for x in codec.decimals(ids, counts)], pa.string()),
                     pa.array([hexed(x) for x in codec.decode(ids, counts)], pa.string()),
                     pa.array([zlib.crc32(spans[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.int64()),
+                    *lists,
                 ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"],
+                names=schema.names,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DIGESTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
