@@ -42,6 +42,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import language_id
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, language_id.train(docs, _tokenizer("piece_bpe_32k.model")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import decontamination
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op8_token_output": op8_token_output,
     "op9_quality_rules": op9_quality_rules,
