@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import personal_data
+
+    return personal_data.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import token_output
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_token_output": op8_token_output,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
