@@ -30,6 +30,16 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(*token_output.write(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path, so one is made: source, then directories of 10,000 and 100 ids."""
+    from granary.llm import license_scan
+
+    docs = _table(spark, sf_dir, "documents")
+    folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", "source", folder(10_000), folder(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import ngram_jaccard
 
@@ -77,6 +87,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_sharding": op4_sharding,
