@@ -298,16 +298,17 @@ class WordEncoder:
         return starts[order], ends[order], whole[order], data
 
 
-_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
 
-def encode(docs: DataFrame, file: str, end_id: int | None = None) -> DataFrame:
-    """(doc_id, width, ids binary: little-endian, `width` bytes each) of every row; a null text has
-    the end id alone."""
+def encode(docs: DataFrame, file: str, end_id: int | None = None, borders: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, part, width, ids binary: little-endian, `width` bytes each) of every row. A null
+    text has the end id alone. The part is the number of borders below doc_id, 0 for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(file)
         width = encoder.width if end_id is None or end_id < 1 << 16 else 4
+        limits = np.array(borders, np.int64)
         for rows, data, at in _text.slices(batches, "text"):
             ids, counts = encoder.encode(data, at)
             if end_id is not None:
@@ -315,7 +316,9 @@ def encode(docs: DataFrame, file: str, end_id: int | None = None) -> DataFrame:
                 counts = counts + 1
             ends = np.concatenate([[0], width * np.cumsum(counts)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
-            yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), pa.array(np.full(len(counts), width, np.int32)), packed], names=["doc_id", "width", "ids"])
+            own = _text.column(rows, "doc_id")
+            part = np.searchsorted(limits, own.fill_null(NULL_ID).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([own, pa.array(part), pa.array(np.full(len(counts), width, np.int32)), packed], names=_ENCODED.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
 
@@ -329,20 +332,23 @@ def write(docs: DataFrame, file: str, end_id: int | None = None, segment_ids: in
     """Encodes and writes `docs`; returns the folder and its manifest (name, start, n_docs, n_ids),
     one row for each segment file, start being the ids of all segments before it.
 
-    Documents are dealt by ranges of doc_id, so segments in the order of their names hold the
-    ids in ascending doc_id order (null first, equal doc_ids in the order of their bytes).
+    Documents are dealt by ranges of doc_id, whose borders are quantiles found from the ids
+    alone, so nothing is encoded twice or kept between. Segments in the order of their names hold
+    the ids in ascending doc_id order (null first, equal doc_ids in the order of their bytes).
     Every task streams its sorted rows and holds one segment at a time.
     """
     spark = docs.sparkSession
     where = folder(spark, "segments")
-    encoded = written(encode(docs, file, end_id), "encoded")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    borders = sorted({int(x) for x in own.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    dealt = encode(docs, file, end_id, tuple(borders))
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        place, number = TaskContext.get().partitionId(), 0
         doc_ids: list[np.ndarray] = []
         raws: list[bytes] = []
         lengths: list[np.ndarray] = []
@@ -350,10 +356,10 @@ def write(docs: DataFrame, file: str, end_id: int | None = None, segment_ids: in
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
-            name = f"seg-{part:08d}-{number:08d}.ids"
+            name = f"seg-{place:08d}-{number:08d}.ids"
             n = np.concatenate(lengths)
             _save(where, name, pack_segment(np.concatenate(doc_ids), n, np.frombuffer(b"".join(raws), f"<u{width}")))
-            row = pa.RecordBatch.from_pylist([{"name": name, "part": part, "number": number, "n_docs": len(n), "n_ids": int(n.sum())}], schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = pa.RecordBatch.from_pylist([{"name": name, "part": place, "number": number, "n_docs": len(n), "n_ids": int(n.sum())}], schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             number, size = number + 1, 0
             for kept in (doc_ids, raws, lengths):
                 kept.clear()
