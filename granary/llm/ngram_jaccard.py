@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), "text")
     signed = written(_signatures(docs), "signatures")
     key = ["t1", "t2", "n"]
-    classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(signed.where(F.col("n") > 0).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     members = written(signed.select("doc_id", *key).join(classes, key, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(0)).alias("copies")), "members")
     own = members.where((F.col("doc_id") == F.col("rep")) & (F.col("copies") > 0)).select("rep", "copies").distinct()
     reps = written(signed.select(F.col("doc_id").alias("rep"), "sig").join(own, "rep").dropDuplicates(["rep"]), "classes")
