@@ -228,13 +228,12 @@ class Codec:
                     parts[i], spans[i] = self._general(data[offsets[i] : offsets[i + 1]].tobytes())
                     counts[i] = len(parts[i])
                 ids, ends = np.concatenate(parts), np.concatenate(spans)
-            bounds = np.cumsum(counts)
-            for extra, where, span in ((self.after, bounds, sizes), (self.before, bounds - counts, 0 * sizes)):
-                if extra:
-                    ids, ends = np.insert(ids, where, extra[0]), np.insert(ends, where, span)
-                    where_shift = np.arange(1, rows + 1)
-                    bounds = bounds + where_shift
-                    counts = counts + 1
+            if self.after:
+                at = np.cumsum(counts)
+                ids, ends, counts = np.insert(ids, at, self.after[0]), np.insert(ends, at, sizes), counts + 1
+            if self.before:
+                at = np.cumsum(counts) - counts
+                ids, ends, counts = np.insert(ids, at, self.before[0]), np.insert(ends, at, 0), counts + 1
         return ids, ends, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:

@@ -1,0 +1,263 @@
+"""Ops 1, 2, 5 and 7, and the pipeline: brute force and held-out accuracy."""
+
+import collections
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from granary.llm import _text, language_id, license_scan, ngram_jaccard, personal_data
+from tests.llm.helpers import N_ODD, documents, odd_documents, words
+
+P = pytest.importorskip("public_tokenizers")
+PIECES = P.path("piece_bpe_32k.model")
+SF = "/root/testdata/sf0.001"
+
+
+# --- near duplicates
+
+
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    return out
+
+
+def linked(texts):
+    sets = shingle_sets(texts)
+    n = len(texts)
+    links, root = [0] * n, list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [(top(i), links[i]) for i in range(n)]
+
+
+def near_texts():
+    pick = random.Random(10)
+    out = []
+    for _ in range(12):
+        own = [f"w{pick.randint(0, 10**6)}" for _ in range(80)]
+        for _ in range(pick.randint(1, 6)):
+            new = list(own)
+            for _ in range(pick.randint(0, 4)):
+                new[pick.randrange(80)] = "new"
+            out.append(" ".join(new))
+    return out + ["a b", "A  b", "a b c", "", None, " "] + [out[0]] * 5
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    texts = near_texts()
+    rows = ngram_jaccard.near_duplicates(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["class_id"], r["n_links"]) for r in rows] == linked(texts)
+
+
+def test_one_of_each(spark):
+    texts = near_texts()
+    docs = documents(spark, texts)
+    kept = ngram_jaccard.one_of_each(docs.unionByName(docs.where("doc_id = 0")))
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in linked(texts)})
+    assert ngram_jaccard.near_duplicates(odd_documents(spark)).count() == N_ODD
+    assert ngram_jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pruning_bounds():
+    from math import comb
+
+    for n, m in zip(range(16, 129, 16), ngram_jaccard.least_matches(), strict=True):
+        tail = lambda m, n=n: sum(comb(n + 1, j) * 0.8**j * 0.2 ** (n + 1 - j) for j in range(m + 1))
+        assert tail(m) >= 1e-9 and (m == 0 or tail(m - 1) < 1e-9)
+
+
+def test_components(spark):
+    pick = random.Random(11)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(pick.randint(200, 260), pick.randint(200, 260)) for _ in range(30)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = ngram_jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    alone = {x for x in root if not any(x in e for e in edges if e[0] != e[1])}
+    assert {r["node"]: r["root"] for r in got} == {k: v for k, v in root.items() if k not in alone}
+
+
+# --- language
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "ab", "b", "▁ab"]
+    lattice = language_id.Lattice(pieces)
+    pick = np.random.default_rng(12)
+    p = pick.random((len(pieces), 2))
+
+    def total(text, column):
+        if not text:
+            return 1.0
+        found = language_id.UNKNOWN * total(text[1:], column)
+        return found + sum(p[i, column] * total(text[len(x) :], column) for i, x in enumerate(pieces) if text.startswith(x))
+
+    for word in ("a", "ab", "abab", "axb"):
+        got = language_id.forward(lattice.ids([word]), p)[0, -1]
+        assert np.allclose(got, [total("▁" + word, c) for c in range(2)])
+    # expected counts are the gradient of the log-probability
+    ids, weights = lattice.ids(["abab"]), np.array([[2.0, 0.0]])
+    counts = language_id.expected(ids, p, weights)
+    for i in range(len(pieces)):
+        up = p.copy()
+        up[i] *= 1 + 1e-6
+        slope = (np.log(language_id.forward(ids, up)[0, -1, 0]) - np.log(language_id.forward(ids, p)[0, -1, 0])) / 1e-6
+        assert abs(2 * slope - counts[i, 0]) < 1e-3 and counts[i, 1] == 0
+
+
+def test_held_out_accuracy(spark):
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = odd_documents(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"))
+    model = language_id.train(docs.unionByName(odd), PIECES, rounds=2)
+    rows = language_id.identify(docs.unionByName(odd), model).join(docs, "doc_id", "left").collect()
+    held = [r for r in rows if r["held_out"] and r["lang"]]
+    assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held) > 20
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    got = {r["doc_id"]: r["lang_pred"] for r in rows}
+    assert [got[10**6 + i] for i in (0, 1, 2, 11)] == ["und"] * 4 and got[10**6 + 4] != "und"
+    nobody = language_id.train(odd, PIECES)
+    assert {r["lang_pred"] for r in language_id.identify(odd, nobody).collect()} == {"und"}
+
+
+# --- personal data
+
+
+def matches(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        doubled = sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits[::-1]))
+        if 14 <= len(digits) <= 19 and doubled % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_patterns():
+    pick = random.Random(13)
+    texts = ["".join(pick.choice("a@.1 +-(2)%4é") for _ in range(70)) for _ in range(3000)]
+    texts += ["1.2.3.4.5.6.7.8 300.1.1.1.2.3.4", "a@b.c@d.e", "4111 1111 1111 1111", "+1 (212) 555-0123", "ü@x.y é.a@b-c.de"]
+    assert [personal_data.base_spans(t) for t in texts] == [matches(t) for t in texts]
+
+
+def test_field_is_exact_and_fits_its_table():
+    field = personal_data.train()
+    texts, marks = personal_data.labelled(personal_data.TRAINING)
+    tokens = personal_data.Tokens(*_text.utf8(pa.array(texts)))
+    gold = np.concatenate(marks)
+    assert (field.labels(tokens) == gold).mean() > 0.98
+    # Viterbi with settled tokens equals Viterbi over whole lines
+    scores, k = field.emissions(tokens), len(personal_data.FIELD_KINDS) + 1
+    whole = []
+    for line in np.unique(tokens.line):
+        own = scores[tokens.line == line]
+        best, back = field.moves[0] + own[0], []
+        for e in own[1:]:
+            step = best[:, None] + field.moves
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + e
+        at = int((best + field.moves[:, 0]).argmax())
+        path = [at]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        whole += path[::-1]
+    assert k == 5 and field.labels(tokens).tolist() == whole
+
+
+def test_personal_data(spark):
+    texts = ["é token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1c\" or é mail x@y.org", "Dear Hanna Miller, hello", "nothing here", None, ""]
+    got = [r["spans"] for r in personal_data.find(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["secret:11:51,email:63:70", "name:5:17", "", "", ""]
+    assert personal_data.find(odd_documents(spark)).count() == N_ODD
+    assert personal_data.find(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+# --- licenses
+
+
+def test_licenses(spark):
+    rows = [
+        (1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/b/code.c", "int main"), (3, "p/a/x.c", "some words here\nLicensed under the Apache License, Version 2.0.\nmore words follow here"),
+        (4, "p/a/b/c/LICENSE.txt", "This work is licensed under the GNU General Public License, version 3."), (5, "p/a/b/c/d/e.c", "x"), (6, "q/y.c", "the terms of this are as you see"), (7, None, None), (8, "top.c", "z"), (9, "", ""),
+    ]
+    got = {r["doc_id"]: (r["license"], r["license_from"]) for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("MIT", "p"), 3: ("Apache-2.0", "header"), 4: ("GPL-3.0", "file"), 5: ("GPL-3.0", "p/a/b/c"), 6: (None, None), 7: (None, None), 8: (None, None), 9: (None, None)}
+    odd = odd_documents(spark).withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    assert license_scan.licenses(odd).count() == N_ODD
+    assert license_scan.licenses(odd.limit(0)).count() == 0
+
+
+def test_cosine_by_hand():
+    from math import log
+
+    templates = [("A", "alpha beta"), ("B", "beta gamma gamma")]
+    scorer = license_scan.Scorer(templates, 10, {0: 1, 1: 9, 2: 0})
+    idf = [log(11 / 2) + 1, log(11 / 10) + 1, log(11) + 1]
+    bag = np.array([[1, 2, 0]])
+    which, score = scorer.best(bag, np.array([3]))
+    v = np.array([idf[0], 2 * idf[1], 0])
+    t = np.array([idf[0], idf[1], 0])
+    assert which[0] == 0 and abs(score[0] - v @ t / np.linalg.norm(t) / np.sqrt(v @ v + 3)) < 1e-8
+
+
+# --- pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from granary.llm import quality_rules
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    kept = {r["doc_id"] for r in quality_rules.assess(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").select("doc_id").collect()}
+    texts = {i: t for i, t in texts.items() if i in kept}
+    key = lambda line: line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    held = collections.Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")})
+    texts = {i: "\n".join(x for x in t.split("\n") if not key(x) or held[key(x)] < 10) for i, t in texts.items()}
+    ids = sorted(texts)
+    classes = linked([texts[i] for i in ids])
+    texts = {i: texts[i] for n, i in enumerate(ids) if classes[n][0] == n}
+    windows = set()
+    for (t,) in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect():
+        w = words(t)
+        windows |= {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    clean = []
+    for i, t in texts.items():
+        w = words(t)
+        hit = {j + k for j in range(len(w) - 12) if tuple(w[j : j + 13]) in windows for k in range(13)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append(i)
+    rows = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert sorted(rows) == sorted(clean) and len(clean) < len(ids)
+    from granary.llm.sentence_pieces import Codec
+
+    library = Codec(PIECES).library
+    assert all(rows[i] == [*library.encode(texts[i]), 2] for i in clean)
