@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.quality_rules import CUTOFFS, DELTA, RISK
+
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -130,6 +132,31 @@ ORACLES: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
     """,
+    "op9_quality_rules": rf"""
+        WITH cuts(rule, i, cutoff) AS (VALUES {", ".join(f"('{r}', {i}, {c:f}::double)" for r, cs in CUTOFFS.items() for i, c in enumerate(cs))}),
+        docs AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n
+                  FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 2))),
+        repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM grams WHERE n > 1) GROUP BY doc_id),
+        counts AS (SELECT doc_id, stratum, t, cast(len(w) AS bigint) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                cast(len(regexp_extract_all(t, '[#*$%&|<>]')) AS bigint) AS n_symbols, coalesce(repeated.n, 0) AS n_repeat_words,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM docs LEFT JOIN repeated USING (doc_id)),
+        m AS (SELECT *, cast(len(l) - len(list_distinct(l)) AS bigint) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share,
+                CASE WHEN len(l) > 0 THEN (len(l) - len(list_distinct(l))) / len(l) ELSE 0 END AS dup_line_share,
+                CASE WHEN word_chars > 0 THEN len(regexp_extract_all(t, '\p{{Lu}}')) / word_chars ELSE 0 END AS upper_share,
+                CASE WHEN n_words > 0 THEN (length(t) - length(replace(t, '!', ''))) / n_words ELSE 0 END AS exclaim_share FROM counts),
+        scores AS (UNPIVOT (SELECT doc_id, stratum, base_failed, {", ".join(f"{r}::double AS {r}" for r in CUTOFFS)} FROM m) ON {", ".join(CUTOFFS)} INTO NAME rule VALUE score),
+        good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+        cells AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k
+                  FROM scores SEMI JOIN good USING (doc_id) JOIN cuts USING (rule) WHERE NOT base_failed GROUP BY ALL),
+        tested AS (SELECT *, k < n * {RISK / len(CUTOFFS)} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+                + j * ln({RISK / len(CUTOFFS)}) + (n - j) * ln({1 - RISK / len(CUTOFFS)})))) <= {DELTA} / ({len(CUTOFFS)} * (SELECT count(DISTINCT stratum) FROM cells)) AS valid FROM cells),
+        chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(valid) OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM tested) WHERE ok GROUP BY ALL),
+        rejected AS (SELECT DISTINCT doc_id FROM scores JOIN chosen USING (stratum, rule) WHERE score > cutoff)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM m
+    """,
     "op10_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
