@@ -69,20 +69,27 @@ class Engine:
     def repository(self, repo_id: str, domain: str = "default") -> Repository:
         return Repository(self, repo_id, domain)
 
-    def upload(self, files: DataFrame) -> DataFrame:
+    def upload(self, files: DataFrame, parse_poms: bool = True) -> DataFrame:
         """Keeps files (domain, relative_path, content) as blobs and content, without adding them
-        to a repository; returns their content rows. Refused files go to quarantine."""
+        to a repository; returns their content rows. Refused files go to quarantine. Project
+        files make packages of new releases and refresh those of snapshots."""
         store = self.store
         files = files.withColumn("sha256", F.sha2("content", 256))
         store.append("blobs", sources.new_blobs(files, store.read("blobs")))
         known = store.read("content")
-        described = contents.described(files, known)
+        described = store.staged(contents.described(files, known))
         refused = contents.quarantined(described)
         if not refused.isEmpty():
             store.append("quarantine", refused)
-        new = contents.accepted(described)
+        new = store.staged(contents.accepted(described))
         ids = new.select("content_id")
         store.replace("content", contents.saved(known, new))
+        if parse_poms:
+            own = new.where((F.col("kind") == ARTIFACT) & F.endswith("filename", F.lit(".pom")))
+            bodies = store.staged(packages.pom_bodies(own.select(*packages.KEY).distinct(), own, store.read("blobs")))
+            if not bodies.isEmpty():
+                old = store.read("packages")
+                store.replace("packages", packages.merged(old, store.staged(packages.upserted(bodies, old))))
         return store.read("content").join(ids, "content_id", "left_semi")
 
     def backfill_packages(self) -> None:
@@ -158,11 +165,10 @@ class Repository:
 
     def _commit(self, old: DataFrame, new: DataFrame, as_of: dt.datetime) -> int:
         """Writes `new` as the next version; what equals the old snapshot makes none."""
-        new = _kept(new)
         if snapshots.delta(old, new).isEmpty():
             return self.latest_version()
         last = self._last_number()
-        change = snapshots.delta(snapshots.snapshot(self.store.read("events"), self.repo_id, last), new)
+        change = self.store.staged(snapshots.delta(snapshots.snapshot(self.store.read("events"), self.repo_id, last), new))
         rows = change.select(F.lit(self.repo_id).alias("repo_id"), F.lit(last + 1).alias("version"), "op", "kind", "content_id")
         self.store.append("events", rows)
         self.store.append("versions", self.spark.createDataFrame([(self.repo_id, last + 1, as_of)], "repo_id string, version long, created timestamp"))
@@ -172,42 +178,43 @@ class Repository:
         """Removes, then adds, (kind, content_id) rows; "*" removes all. With base_version (a
         number, or a repository and a number) that snapshot is started from. Newly added content
         displaces what has its key. `derive` keeps packages and index documents up."""
+        staged = self.store.staged
         empty = self.spark.createDataFrame([], "kind string, content_id string")
-        old = self.members()
+        old = staged(self.members())
         start = old
         if base_version is not None:
             repo, number = base_version if isinstance(base_version, tuple) else (self.repo_id, base_version)
-            start = snapshots.snapshot(self.store.read("events"), repo, number)
-        add = (add if add is not None else empty).select(*snapshots.MEMBER).distinct()
+            start = staged(snapshots.snapshot(self.store.read("events"), repo, number))
+        add = staged((add if add is not None else empty).select(*snapshots.MEMBER).distinct())
         remove = start if isinstance(remove, str) and remove == "*" else remove
-        kept = start if remove is None else snapshots.without(start, remove, snapshots.MEMBER)
-        fresh = snapshots.without(add, kept, snapshots.MEMBER)
-        keyed = self._keyed(fresh)
+        kept = start if remove is None else staged(snapshots.without(start, remove, snapshots.MEMBER))
+        keyed = staged(self._keyed(snapshots.without(add, kept, snapshots.MEMBER)))
         if not snapshots.conflicts(keyed).isEmpty():
             raise ValueError("two added contents have the same key")
-        kept = snapshots.without(kept, snapshots.displaced(self._keyed(kept), keyed), snapshots.MEMBER)
-        new = snapshots.modified(kept, add)
+        kept = snapshots.without(kept, staged(snapshots.displaced(self._keyed(kept), keyed)), snapshots.MEMBER)
+        new = staged(snapshots.modified(kept, add))
         if derive:
             new = self._derived(old, new, as_of)
         return self._commit(old, new, as_of)
 
     def _derived(self, old: DataFrame, new: DataFrame, as_of: dt.datetime) -> DataFrame:
         """`new` with packages and index documents that follow its artifacts."""
-        store = self.store
+        store, staged = self.store, self.store.staged
         everything = store.read("content")
-        rows = lambda members, kind: listing.in_snapshot(everything.where(F.col("kind") == kind), members)
+        rows = lambda members, kind: staged(listing.in_snapshot(everything.where(F.col("kind") == kind), members))
         added, removed = (rows(x, ARTIFACT) for x in (snapshots.without(new, old, snapshots.MEMBER), snapshots.without(old, new, snapshots.MEMBER)))
         if added.isEmpty() and removed.isEmpty():
             return new
         known = store.read("packages")
         artifacts = rows(new, ARTIFACT)
         fresh, ids, dead = packages.maintained(added, removed, artifacts, known, store.read("blobs"))
+        fresh, ids, dead = staged(fresh), staged(ids), staged(dead)
         gone = snapshots.matching(known, dead, packages.KEY).select(F.lit(PACKAGE).alias("kind"), "content_id")
         documents, stale = indexes.maintained(added, removed, artifacts, rows(new, METADATA), F.lit(as_of))
+        documents, stale = staged(documents), staged(stale)
         ids = ids.select(F.lit(PACKAGE).alias("kind"), "content_id")
-        out = snapshots.modified(snapshots.modified(new, ids, gone), documents, stale)
-        out = _kept(out)
-        self._save(_kept(documents))
+        out = staged(snapshots.modified(snapshots.modified(new, ids, gone), documents, stale))
+        self._save(documents)
         store.replace("packages", packages.merged(known, fresh))
         return out
 
@@ -219,7 +226,7 @@ class Repository:
     def pull(self, files: DataFrame, remote_id: str, as_of: dt.datetime) -> int:
         """Files that came through a remote: kept unless they are for passing on only, logged,
         and added without derived content. What is live already makes no version."""
-        new = self.engine.upload(remote.keepable(files.withColumn("domain", F.lit(self.domain))).select("domain", "relative_path", "content"))
+        new = self.engine.upload(remote.keepable(files.withColumn("domain", F.lit(self.domain))).select("domain", "relative_path", "content"), parse_poms=False)
         self.store.append("fetches", new.select("content_id", F.lit(remote_id).alias("remote_id"), F.lit(as_of).alias("created")))
         return self.modify(remote.not_live(new.select(*snapshots.MEMBER), self.members()), as_of=as_of, derive=False)
 
@@ -234,18 +241,14 @@ class Repository:
 
     def repair_metadata(self, as_of: dt.datetime = _EPOCH) -> int:
         """Index documents and the prefix list made anew for the whole snapshot. Packages stay."""
-        old = self.members()
-        documents, stale = indexes.rebuilt(self.content(ARTIFACT), self.content(METADATA), F.lit(as_of))
-        documents, stale = _kept(documents), _kept(stale)
+        staged = self.store.staged
+        old = staged(self.members())
+        documents, stale = indexes.rebuilt(staged(self.content(ARTIFACT)), staged(self.content(METADATA)), F.lit(as_of))
+        documents = staged(documents)
         self._save(documents)
-        return self._commit(old, snapshots.modified(old, documents, stale), as_of)
+        return self._commit(old, staged(snapshots.modified(old, documents, stale)), as_of)
 
     def destroy_version(self, version: int) -> None:
         """The version can no longer be read; all others stay as they are."""
         self.members(version)
         self.store.append("versions", self.spark.createDataFrame([(self.repo_id, version, None)], "repo_id string, version long, created timestamp"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows as they are now, though the tables they come from get new generations."""
-    return df.persist()
