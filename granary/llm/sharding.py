@@ -4,11 +4,12 @@ A group is all documents of one text. `differencing` starts from one partial par
 item, its weight on one way and nothing on the others, and repeatedly combines the two partial
 partitions with the largest spread, the heaviest way of one with the lightest of the other.
 
-Groups are counted before anything is dealt. Small groups are first packed, at most CHUNK at a
-time, into `shards` nearly equal bundles; bundles are packed again until at most MOST_ITEMS are
-left. Groups heavier than a shard's part in 64 stay alone (there are at most 64 * shards).
-Those items, a bounded number, are differenced on the driver, so one huge group shares its shard
-with less than the others get. A shard is never split over a group and no row is dropped.
+Groups are counted before anything is dealt. While there are more than MOST_ITEMS, they are
+packed in chunks of at most CHUNK, each by differencing, into fewer, nearly equal bundles, which
+are the next level's items. Groups heavier than a shard's part in 64 stay alone (there are at most
+64 * shards). The items left, a bounded number of small ones, are differenced on the driver, so
+one huge group shares its shard with less than the others get, and these stay equal. A shard is
+never split over a group and no row is dropped.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def differencing(weights: list[int], ways: int) -> list[int]:
     return out
 
 
-def _bundled(items: DataFrame, ways: int) -> DataFrame:
-    """`items` (with a long column bytes) and the bundle of each, at most CHUNK items at a time."""
+def _bundled(items: DataFrame, chunk: int, ways: int) -> DataFrame:
+    """`items` (item, bytes) and the bundle of each: `ways` bundles for every `chunk` items."""
     schema = T.StructType([*items.schema.fields, T.StructField("bundle", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,22 +80,27 @@ def _bundled(items: DataFrame, ways: int) -> DataFrame:
         number = 0
         kept: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number
             table = pa.Table.from_batches(kept).combine_chunks()
             kept.clear()
-            for first in range(0, table.num_rows, CHUNK):
-                part = table.slice(first, CHUNK)
-                slots = np.array(differencing(part.column("bytes").to_pylist(), ways), np.int64)
+            for first in range(0, table.num_rows, chunk):
+                part = table.slice(first, chunk)
+                if part.num_rows < chunk and not last:
+                    kept.extend(part.to_batches())
+                    break
+                own = max(1, ways * part.num_rows // chunk)
+                slots = np.array(differencing(part.column("bytes").to_pylist(), own), np.int64)
                 yield from part.append_column("bundle", pa.array(top | number << 12 | slots)).to_batches()
                 number += 1
 
         for batch in batches:
-            kept.append(batch)
-            if sum(x.num_rows for x in kept) >= CHUNK:
-                yield from flush()
+            if batch.num_rows:
+                kept.append(batch)
+            if sum(x.num_rows for x in kept) >= chunk:
+                yield from flush(False)
         if kept:
-            yield from flush()
+            yield from flush(True)
 
     return items.mapInArrow(run, schema)
 
@@ -113,21 +119,22 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     heavy_from = max(1, total // (64 * shards))
     heavy, light = groups.where(F.col("bytes") > heavy_from), groups.where(F.col("bytes") <= heavy_from)
-    levels = [written(_bundled(light, shards), "bundles")]
-    sums = levels[-1].groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
-    while (sums := written(sums, "bundle-sums")).count() > MOST_ITEMS:
-        levels.append(written(_bundled(sums.withColumnRenamed("bundle", "item"), shards), "bundles"))
-        sums = levels[-1].groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
-    items = sums.select(F.col("bundle").alias("item"), F.lit(False).alias("alone"), "bytes").unionByName(heavy.select(F.col("group").alias("item"), F.lit(True).alias("alone"), "bytes"))
+    levels: list[DataFrame] = []
+    sums = light.select(F.col("group").alias("item"), "bytes")
+    ways = min(8 * shards, max(2, CHUNK // 4), 4096)
+    while (n := sums.count()) > MOST_ITEMS:
+        chunk = min(CHUNK, max(2 * ways, 2 * ways * n // MOST_ITEMS))
+        level = written(_bundled(sums.repartition(-(-n // CHUNK), "item"), chunk, ways), "bundles")
+        levels.append(level.select("item", "bundle"))
+        sums = written(level.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).withColumnRenamed("bundle", "item"), "bundle-sums")
+    items = sums.withColumn("alone", F.lit(False)).unionByName(heavy.select(F.col("group").alias("item"), "bytes", F.lit(True).alias("alone")))
     numbered = written(items.withColumn("n", F.row_number().over(Window.orderBy("alone", F.desc("bytes"), "item")).cast("long")), "items")
-    ways = written(numbered.join(_shards_of(numbered, "n", shards), "n").select("item", "alone", "shard"), "ways")
-    found = ways.where(~F.col("alone")).select(F.col("item").alias("bundle"), "shard")
-    for level in levels[:0:-1]:
-        found = level.join(found, "bundle").select(F.col("item").alias("bundle"), "shard")
-    return (
-        levels[0].join(found, "bundle").drop("bundle")
-        .unionByName(heavy.join(ways.where("alone").select(F.col("item").alias("group"), "shard"), "group").select(*groups.columns, "shard"))
-    )
+    ways_of = written(numbered.join(_shards_of(numbered, "n", shards), "n").select("item", "alone", "shard"), "ways")
+    found = ways_of.where(~F.col("alone")).select("item", "shard")
+    for level in reversed(levels):
+        found = level.join(found.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard")
+    found = found.withColumnRenamed("item", "group").unionByName(ways_of.where("alone").select(F.col("item").alias("group"), "shard"))
+    return groups.join(found, "group").select(*groups.columns, "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
