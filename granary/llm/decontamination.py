@@ -4,9 +4,10 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and all characters beyon
 is SPAN consecutive words of an item; an item of fewer words, but not none, is one window. Of
 every SPAN - K + 1 consecutive K-word hashes of a text the least is kept, the last one on a tie, so
 a span of SPAN words that a document and an item share has the same kept hash in both. Where a
-document's fingerprint is an item's, the match is extended word by word in both directions, and
-words in runs of at least SPAN equal words are hit. Items of n < SPAN words are winnowed with
-K = n, which keeps every n-word hash.
+document's fingerprint is an item's, the match is extended to every window of SPAN words around
+it, and those that are an item's window are hit. That takes time in proportion to the document,
+however often a passage is repeated in it or in the item. Items of n < SPAN words are winnowed
+with K = n, which keeps every n-word hash.
 
 The items are a query set. They are taken in blocks of at most BLOCK_BYTES of text, each block's
 index is broadcast, and documents pass all blocks; texts are never shuffled.
@@ -74,34 +75,36 @@ def fingerprints(words: np.ndarray, bounds: np.ndarray, k: int = K, span: int =
 
 
 class Index:
-    """Fingerprints of a block of items, by the number of words winnowed together."""
+    """Fingerprints and windows of a block of items, by the number of words of a window."""
 
     def __init__(self, ids: list, texts: list[str]) -> None:
         self.ids = ids
         data, at = _text.utf8(pa.array(texts, pa.string()))
         words, bounds = words_of(data, at)
-        self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for item, own in enumerate(self.words):
-            n = len(own)
-            if n >= SPAN:
-                hashes, places = fingerprints(own, np.array([0, n]))
-                found[SPAN] += [(int(h), item, int(p)) for h, p in zip(hashes, places, strict=True)]
-            elif n:
-                found[n].append((int(_text.gram_hashes(own, n)[0]), item, 0))
+        prints: dict[int, list[np.ndarray]] = defaultdict(list)
+        windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for item, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            n = min(SPAN, b - a)
+            if n:
+                own = np.unique(_text.gram_hashes(words[a:b], n))
+                windows[n].append((own, np.full(len(own), item)))
+                prints[n].append(fingerprints(words[a:b], np.array([0, b - a]))[0] if n == SPAN else own)
         self.tables = {}
-        for n, rows in found.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
+        for n, parts in windows.items():
+            hashes, items = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            distinct, first = np.unique(hashes[order], return_index=True)
+            keys = np.unique(np.concatenate(prints[n]))
             coarse = np.zeros(1 << 16, bool)
             coarse[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.tables[n] = (keys, coarse, np.array([r[1:] for r in rows], np.int64))
-
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, item, first word, end) of the runs of words that windows of items cover, words
-        being counted from the row's first."""
-        out = []
-        for n, (keys, coarse, values) in self.tables.items():
+            self.tables[n] = (keys, coarse, distinct, np.append(first, len(order)), items[order])
+
+    def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are inside an occurrence of a window, and the distinct pairs of a row and
+        an item that occurs in it."""
+        edges = np.zeros(len(words) + 1, np.int64)
+        pairs = [np.zeros(0, np.int64)]
+        for n, (keys, coarse, distinct, first, items) in self.tables.items():
             if n == SPAN:
                 hashes, places = fingerprints(words, bounds)
             else:
@@ -109,21 +112,31 @@ class Index:
                 places = np.flatnonzero(_apart(bounds, len(words), n))
                 hashes = hashes[places]
             likely = coarse[(hashes >> np.uint64(48)).astype(np.int64)]
-            hashes, places = hashes[likely], places[likely]
-            low, high = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
-            some = high > low
-            low, high, places = low[some], high[some], places[some]
-            row = np.searchsorted(bounds, places, "right") - 1
-            pair = values[_text.ragged(low, high - low)]
-            items, shifts = pair[:, 0], pair[:, 1] - np.repeat(places, high - low)
-            diagonals = {*zip(np.repeat(row, high - low).tolist(), items.tolist(), shifts.tolist(), strict=True)}
-            for r, item, shift in diagonals:
-                own, (first, end) = self.words[item], (int(bounds[r]), int(bounds[r + 1]))
-                a, b = max(first, -shift), min(end, len(own) - shift)
-                same = np.concatenate([[False], words[a:b] == own[a + shift : b + shift], [False]])
-                edges = np.flatnonzero(same[1:] != same[:-1])
-                out += [(r, item, a + int(s) - first, a + int(e) - first) for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= n]
-        return out
+            places = places[likely][_found(keys, hashes[likely]) >= 0]
+            if not len(places):
+                continue
+            starts = np.unique(places[:, None] - np.arange(SPAN - K + 1 if n == SPAN else 1))
+            starts = starts[(starts >= 0) & (starts + n <= len(words))]
+            row = np.searchsorted(bounds, starts, "right") - 1
+            inside = starts + n <= bounds[row + 1]
+            starts, row = starts[inside], row[inside]
+            grams = np.concatenate([_text.gram_hashes(words[s : s + n], n) for s in starts.tolist()]) if len(starts) < 64 else _text.gram_hashes(words, n)[starts]
+            at = _found(distinct, grams)
+            starts, row, at = starts[at >= 0], row[at >= 0], at[at >= 0]
+            edges[starts] += 1
+            edges[starts + n] -= 1
+            seen = np.unique(row * len(distinct) + at)
+            row, at = np.divmod(seen, len(distinct))
+            sizes = first[at + 1] - first[at]
+            pairs.append(np.repeat(row, sizes) * len(self.ids) + items[_text.ragged(first[at], sizes)])
+        row, item = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.ids)))
+        return np.cumsum(edges[:-1]) > 0, np.stack([row, item], axis=1)
+
+
+def _found(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in sorted keys, -1 if it is not there."""
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -166,17 +179,25 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
                 found = _text.column(rows, "__found").to_pylist() if "__found" in rows.schema.names else [None] * rows.num_rows
                 spans = [x["spans"] if x else [] for x in found]
                 own = [{*x["items"]} if x else set() for x in found]
-                for r, item, a, b in index.hits(words, bounds):
-                    spans[r] += [a, b]
+                covered, pairs = index.hits(words, bounds)
+                for r, item in pairs.tolist():
                     if index.ids[item] is not None:
                         own[r].add(index.ids[item])
+                for r, before in enumerate(spans):
+                    for a, b in zip(before[::2], before[1::2], strict=True):
+                        covered[bounds[r] + a : bounds[r] + b] = True
                 rows = rows.drop_columns(["__found"]) if "__found" in rows.schema.names else rows
                 if not last:
+                    starts, ends = _text.spans_of(covered, bounds)
+                    of_row = np.searchsorted(bounds, starts, "right") - 1
+                    spans = [[] for _ in spans]
+                    for r, a, b in zip(of_row.tolist(), (starts - bounds[of_row]).tolist(), (ends - bounds[of_row]).tolist(), strict=True):
+                        spans[r] += [a, b]
                     more = pa.StructArray.from_arrays([pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in own], pa.list_(pa.string()))], names=["spans", "items"])
                     yield pa.RecordBatch.from_arrays([*rows.columns, more], names=[*rows.schema.names, "__found"])
                     continue
                 n = np.diff(bounds).tolist()
-                hit = [_covered(x) for x in spans]
+                hit = np.diff(np.concatenate([[0], np.cumsum(covered)])[bounds]).tolist()
                 digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
                 dirty = [h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)]
                 columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(digests, pa.string()), pa.array(dirty, pa.bool_())]
@@ -186,12 +207,3 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             return docs.mapInArrow(run, schema)
         docs = written(docs.mapInArrow(run, passed), "contamination")
         block, after = after, next(blocks, None)
-
-
-def _covered(spans: list[int]) -> int:
-    """How many places the [start, end) pairs cover together."""
-    total, reached = 0, 0
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        total += max(0, b - max(a, reached))
-        reached = max(reached, b)
-    return total
