@@ -8,7 +8,7 @@ document without a header takes the license of the nearest directory above it th
 found by joins of distinct directories with their ancestors.
 
 Inverse document frequencies of template words are counted over all documents; a word that is in
-no template weighs OTHER_WEIGHT. Only the table of template words, a fixed number of rows,
+no template weighs as the median template word does. Only the table of template words, a fixed number of rows,
 reaches the driver.
 """
 
@@ -27,8 +27,7 @@ from pyspark.sql import types as T
 from granary.llm import _text
 from granary.llm._store import written
 
-HEADER_COSINE, FILE_COSINE = 0.6, 0.6
-OTHER_WEIGHT = 1.0
+HEADER_COSINE, FILE_COSINE = 0.6, 0.75
 
 #: Notices by which works name their license. A parameter of the operator.
 TEMPLATES: list[tuple[str, str]] = [
@@ -117,6 +116,7 @@ class Scorer:
         self.vocabulary = Vocabulary(templates)
         number = {w: i for i, w in enumerate(self.vocabulary.words)}
         self.idf = np.array([log((1 + total) / (1 + frequencies.get(i, 0))) + 1 for i in range(len(number))])
+        self.other = float(np.median(self.idf))
         self.names = [name for name, _ in templates]
         self.templates = np.zeros((len(templates), len(number)))
         for i, (_, text) in enumerate(templates):
@@ -128,7 +128,7 @@ class Scorer:
         """Of bags (counts of template words, number of other words): the closest template, the
         first on a tie, and its cosine."""
         weights = counts * self.idf
-        norms = np.sqrt((weights**2).sum(axis=1) + OTHER_WEIGHT**2 * others)
+        norms = np.sqrt((weights**2).sum(axis=1) + self.other**2 * others)
         scores = weights @ self.templates.T / np.maximum(norms, 1e-300)[:, None]
         at = scores.argmax(axis=1)
         return at, np.round(scores[np.arange(len(at)), at], 9)
