@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = checked.where(~F.col("whole") & (F.col("rep") != F.col("root"))).select(F.col("rep").alias("a"), F.col("root").alias("b"))
     if not parts.isEmpty():
         roots = roots.unionByName(components(parts).select(F.col("node").alias("rep"), "root"))
-    linked = links.join(roots, "rep", "left")
+    linked = written(links.join(roots, "rep", "left"), "links")
     out = members.join(linked, "rep", "left")
     return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.greatest(F.col("copies") - 1, F.lit(0))).alias("n_links"))
 
