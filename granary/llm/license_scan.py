@@ -2,8 +2,9 @@
 
 Every line of every text is looked at. A line with at least two different template words that
 are no function words is a candidate; it is scored alone and together with the candidate lines
-next to it (a header), by the cosine of its sparse TF-IDF vector to each template's. A whole text
-that is itself close enough to a template is a licence file and licenses its directory. A
+next to it (a header), by the cosine of its sparse TF-IDF vector to each template's. Every whole
+text is scored by the notices and by the full texts in `licenses`, with the words of both; one
+that is close enough is a licence file and licenses its directory. A
 document without a header takes the license of the nearest directory above it that has one,
 found by joins of distinct directories with their ancestors.
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from importlib import resources
 from math import log
 
 import numpy as np
@@ -28,6 +31,8 @@ from granary.llm import _text
 from granary.llm._store import written
 
 HEADER_COSINE, FILE_COSINE = 0.6, 0.75
+#: Whole texts are scored in blocks of so many, which bounds their matrix of counts.
+FILE_BLOCK = 128
 
 #: Notices by which works name their license. A parameter of the operator.
 TEMPLATES: list[tuple[str, str]] = [
@@ -49,6 +54,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
 ]
 
+
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """The license texts of the folder `licenses`; what follows ~ in a file's name tells variants apart."""
+    found = sorted((f.name, f.read_text("utf-8")) for f in (resources.files("granary.llm") / "licenses").iterdir() if f.name.endswith(".txt"))
+    return [(name.removesuffix(".txt").split("~")[0], text) for name, text in found]
+
+
 #: Function words; they weigh as others do but make no line a candidate.
 FUNCTION_WORDS = frozenset("a an and any are as at be by can for free from in is it may not of on or person that the this to under use with you".split())
 
@@ -76,6 +89,12 @@ class Vocabulary:
         self.coarse[(keys >> np.uint64(48)).astype(np.int64)] = True
         self.telling = np.array([w not in FUNCTION_WORDS for w in self.words])
 
+    def numbers_in(self, other: Vocabulary) -> np.ndarray:
+        """The other vocabulary's number of every word, -1 for words it has not; then one more -1,
+        for the number -1 of other words."""
+        number = {w: i for i, w in enumerate(other.words)}
+        return np.array([number.get(w, -1) for w in self.words] + [-1])
+
     def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all words of a buffer and each one's number, -1 for other words."""
         data = _FOLD[data]
@@ -134,6 +153,25 @@ class Scorer:
         return at, np.round(scores[np.arange(len(at)), at], 9)
 
 
+def bags(groups: np.ndarray, words: np.ndarray, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bags of words by group: counts of the `size` template words, and the number of other words."""
+    inside = words >= 0
+    flat = np.bincount(groups[inside] * size + words[inside], minlength=count * size)
+    return flat.reshape(count, size), np.bincount(groups[~inside], minlength=count)
+
+
+def whole_scores(scorer: Scorer, row: np.ndarray, words: np.ndarray, n: int) -> Iterator[tuple[int, float, int]]:
+    """Of n texts, those that are licence files: (text, cosine, template). row: of every word."""
+    size = len(scorer.vocabulary.words)
+    ends = np.searchsorted(row, np.arange(n + 1))
+    for first in range(0, n, FILE_BLOCK):
+        last = min(first + FILE_BLOCK, n)
+        own = slice(ends[first], ends[last])
+        which, scores = scorer.best(*bags(row[own] - first, words[own], last - first, size))
+        for i in np.flatnonzero(scores >= FILE_COSINE).tolist():
+            yield first + i, float(scores[i]), int(which[i])
+
+
 _SCANNED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("header_license", T.StringType()), T.StructField("header_score", T.DoubleType()), T.StructField("n_headers", T.LongType()), T.StructField("file_license", T.StringType()), T.StructField("file_score", T.DoubleType())]
 )
@@ -142,14 +180,18 @@ _SCANNED = T.StructType(
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """For every row of (doc_id, path, text): the best header's license and cosine, the number of
     lines in headers, and, of a licence file, its license and cosine. Null texts have none."""
-    total, frequencies = document_frequencies(docs, templates)
+    files = templates + full_texts()
+    total, frequencies = document_frequencies(docs, files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(templates, total, frequencies)
+        whole = Scorer(files, total, frequencies)
+        to_notice = whole.vocabulary.numbers_in(Vocabulary(templates))
+        scorer = Scorer(templates, total, {int(to_notice[w]): n for w, n in frequencies.items()})
         telling, size = scorer.vocabulary.telling, len(scorer.vocabulary.words)
         for rows, data, at in _text.slices(batches, "text"):
             n = rows.num_rows
-            starts, words = scorer.vocabulary.find(data, at)
+            starts, file_words = whole.vocabulary.find(data, at)
+            words = to_notice[file_words]
             breaks = np.zeros(len(data) + 1, np.int64)
             np.cumsum(data == 0x0A, out=breaks[1:])
             row = np.searchsorted(at, starts, "right") - 1
@@ -166,20 +208,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
                 owner = np.searchsorted(first_line, lines, "right") - 1
                 joined = (lines[1:] == lines[:-1] + 1) & (owner[1:] == owner[:-1])
                 block = np.concatenate([[0], np.cumsum(~joined)])
-                some = np.unique(owner)
-
-                def bags(groups: np.ndarray, own: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-                    """Bags of words by group; own: the words' places."""
-                    inside = words[own] >= 0
-                    flat = np.bincount(groups[inside] * size + words[own][inside], minlength=count * size)
-                    return flat.reshape(count, size), np.bincount(groups[~inside], minlength=count)
 
                 of_line = np.searchsorted(lines, line)
                 own = np.flatnonzero(lines[np.minimum(of_line, len(lines) - 1)] == line)
-                found = [(owner, bags(of_line[own], own, len(lines)))]
+                found = [(owner, bags(of_line[own], words[own], len(lines), size))]
                 blocks = int(block[-1]) + 1
                 if blocks < len(lines):
-                    found.append((owner[np.searchsorted(block, np.arange(blocks))], bags(block[of_line[own]], own, blocks)))
+                    found.append((owner[np.searchsorted(block, np.arange(blocks))], bags(block[of_line[own]], words[own], blocks, size)))
                 for owners, bag in found:
                     which, scores = scorer.best(*bag)
                     for i in np.flatnonzero(scores >= HEADER_COSINE).tolist():
@@ -189,14 +224,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
                             header[owners[i]] = new
                     if owners is owner:
                         n_headers += np.bincount(owner[scores >= HEADER_COSINE], minlength=n)
-                place = np.searchsorted(some, row)
-                own = np.flatnonzero(some[np.minimum(place, len(some) - 1)] == row)
-                for first in range(0, len(some), 4096):
-                    part = own[(place[own] >= first) & (place[own] < first + 4096)]
-                    which, scores = scorer.best(*bags(place[part] - first, part, min(4096, len(some) - first)))
-                    for i in np.flatnonzero(scores >= FILE_COSINE).tolist():
-                        file[some[first + i]] = (float(scores[i]), int(which[i]))
-            name = lambda found: pa.array([scorer.names[x[1]] if x else None for x in found], pa.string())
+            for i, score, which in whole_scores(whole, row, file_words, n):
+                file[i] = (score, which)
+            name = lambda found: pa.array([whole.names[x[1]] if x else None for x in found], pa.string())
             score = lambda found: pa.array([x[0] if x else None for x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), _text.column(rows, "path"), name(header), score(header), pa.array(n_headers), name(file), score(file)], names=_SCANNED.names)
 
