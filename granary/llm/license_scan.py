@@ -2,7 +2,9 @@
 
 Every line of every text is looked at. A line with at least two different template words that
 are no function words is a candidate; it is scored alone and together with the candidate lines
-next to it (a header), by the cosine of its sparse TF-IDF vector to each template's. Every whole
+next to it (a header), by the cosine of its sparse TF-IDF vector to each template's. So are runs
+of words of about a template's length, wherever they begin in a line and across lines, so that a
+notice is found among other words. Every whole
 text is scored by the notices and by the full texts in `licenses`, with the words of both; one
 that is close enough is a licence file and licenses its directory. A
 document without a header takes the license of the nearest directory above it that has one,
@@ -137,6 +139,7 @@ class Scorer:
         self.idf = np.array([log((1 + total) / (1 + frequencies.get(i, 0))) + 1 for i in range(len(number))])
         self.other = float(np.median(self.idf))
         self.names = [name for name, _ in templates]
+        self.lengths = [len(template_words(text)) for _, text in templates]
         self.templates = np.zeros((len(templates), len(number)))
         for i, (_, text) in enumerate(templates):
             for w in template_words(text):
@@ -160,6 +163,16 @@ def bags(groups: np.ndarray, words: np.ndarray, count: int, size: int) -> tuple[
     return flat.reshape(count, size), np.bincount(groups[~inside], minlength=count)
 
 
+def keep_best(header: list[tuple[float, int] | None], owners: np.ndarray, which: np.ndarray, scores: np.ndarray) -> None:
+    """Puts the best header of every owner, the first template on a tie, where it is better."""
+    some = np.flatnonzero(scores >= HEADER_COSINE)
+    some = some[np.lexsort((which[some], -scores[some], owners[some]))]
+    for i in some[np.unique(owners[some], return_index=True)[1]].tolist():
+        new, old = (float(scores[i]), int(which[i])), header[owners[i]]
+        if old is None or (-new[0], new[1]) < (-old[0], old[1]):
+            header[owners[i]] = new
+
+
 def whole_scores(scorer: Scorer, row: np.ndarray, words: np.ndarray, n: int) -> Iterator[tuple[int, float, int]]:
     """Of n texts, those that are licence files: (text, cosine, template). row: of every word."""
     size = len(scorer.vocabulary.words)
@@ -172,6 +185,32 @@ def whole_scores(scorer: Scorer, row: np.ndarray, words: np.ndarray, n: int) ->
             yield first + i, float(scores[i]), int(which[i])
 
 
+def windows(scorer: Scorer, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of words that may be as close as HEADER_COSINE to a template of
+    about their length (that or half as much again) and begin with a word of it. row: of every word.
+
+    A word that comes twice counts for more in a bag's norm than two words do, so norms by sums
+    over places are no larger and no run that is close enough is left out."""
+    known = np.flatnonzero(words >= 0)
+    telling = np.append(scorer.vocabulary.telling, False)
+    told = np.concatenate([[0], np.cumsum(telling[words])])
+    squares = np.concatenate([[0], np.cumsum(np.append(scorer.idf**2, scorer.other**2)[words])])
+    row_end = np.searchsorted(row, row[known], "right")
+    found = []
+    for template, length in zip(scorer.templates, scorer.lengths, strict=True):
+        own = np.flatnonzero(template[words[known]] > 0)
+        weights = np.concatenate([[0], np.cumsum(np.append(template * scorer.idf, 0)[words])])
+        for reach in {length, length + length // 2}:
+            first = known[own]
+            last = np.minimum(first + reach, row_end[own])
+            some = told[last] - told[first] >= 2
+            first, last = first[some], last[some]
+            near = weights[last] - weights[first] >= (HEADER_COSINE - 1e-6) * np.sqrt(squares[last] - squares[first])
+            found.append(first[near] * (len(words) + 1) + last[near])
+    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return both // (len(words) + 1), both % (len(words) + 1)
+
+
 _SCANNED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("header_license", T.StringType()), T.StructField("header_score", T.DoubleType()), T.StructField("n_headers", T.LongType()), T.StructField("file_license", T.StringType()), T.StructField("file_score", T.DoubleType())]
 )
@@ -179,7 +218,8 @@ _SCANNED = T.StructType(
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """For every row of (doc_id, path, text): the best header's license and cosine, the number of
-    lines in headers, and, of a licence file, its license and cosine. Null texts have none."""
+    lines that are headers or hold one, and, of a licence file, its license and cosine. Null texts
+    have none."""
     files = templates + full_texts()
     total, frequencies = document_frequencies(docs, files)
 
@@ -203,27 +243,30 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
             lines = lines[different >= 2]
             header: list[tuple[float, int] | None] = [None] * n
             file: list[tuple[float, int] | None] = [None] * n
-            n_headers = np.zeros(n, np.int64)
+            of_headers = [lines[:0]]
             if len(lines):
                 owner = np.searchsorted(first_line, lines, "right") - 1
                 joined = (lines[1:] == lines[:-1] + 1) & (owner[1:] == owner[:-1])
                 block = np.concatenate([[0], np.cumsum(~joined)])
-
                 of_line = np.searchsorted(lines, line)
                 own = np.flatnonzero(lines[np.minimum(of_line, len(lines) - 1)] == line)
-                found = [(owner, bags(of_line[own], words[own], len(lines), size))]
+                which, scores = scorer.best(*bags(of_line[own], words[own], len(lines), size))
+                keep_best(header, owner, which, scores)
+                of_headers.append(lines[scores >= HEADER_COSINE])
                 blocks = int(block[-1]) + 1
                 if blocks < len(lines):
-                    found.append((owner[np.searchsorted(block, np.arange(blocks))], bags(block[of_line[own]], words[own], blocks, size)))
-                for owners, bag in found:
-                    which, scores = scorer.best(*bag)
-                    for i in np.flatnonzero(scores >= HEADER_COSINE).tolist():
-                        new = (float(scores[i]), int(which[i]))
-                        old = header[owners[i]]
-                        if old is None or (-new[0], new[1]) < (-old[0], old[1]):
-                            header[owners[i]] = new
-                    if owners is owner:
-                        n_headers += np.bincount(owner[scores >= HEADER_COSINE], minlength=n)
+                    which, scores = scorer.best(*bags(block[of_line[own]], words[own], blocks, size))
+                    keep_best(header, owner[np.searchsorted(block, np.arange(blocks))], which, scores)
+            begin, end = windows(scorer, row, words)
+            for first in range(0, len(begin), 4096):
+                start, length = begin[first : first + 4096], (end - begin)[first : first + 4096]
+                counts, others = bags(np.repeat(np.arange(len(start)), length), words[_text.ragged(start, length)], len(start), size)
+                which, scores = scorer.best(counts, others)
+                scores[(counts[:, telling] > 0).sum(axis=1) < 2] = 0
+                keep_best(header, row[start], which, scores)
+                own_line = line[start] == line[start + length - 1]
+                of_headers.append(line[start[own_line & (scores >= HEADER_COSINE)]])
+            n_headers = np.bincount(np.searchsorted(first_line, np.unique(np.concatenate(of_headers)), "right") - 1, minlength=n)
             for i, score, which in whole_scores(whole, row, file_words, n):
                 file[i] = (score, which)
             name = lambda found: pa.array([whole.names[x[1]] if x else None for x in found], pa.string())

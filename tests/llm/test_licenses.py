@@ -68,3 +68,56 @@ def test_every_full_text_is_found_at_its_depth(spark):
         rows += [(f"{folder}/COPYING", changed), (f"{folder}/src/deep/er/file.c", PROSE), (f"p/{i}x/file.c", PROSE)]
         expected += [(name, name, "file"), (None, name, folder), (None, None, None)]
     assert scanned(spark, rows) == expected
+
+
+def header(spark, texts):
+    docs = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    return [(r["header_license"], r["n_headers"]) for r in license_scan.scan(docs).orderBy("doc_id").limit(len(NOTICES)).collect()]
+
+
+NOTICES = [
+    ("Copyright (c) 2019 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1),
+    ("Copyright 2024 Example Corp. Released under the MIT License.", "MIT", 1),
+    (PROSE * 9 + "This work is licensed under the GNU General Public License, version 3. " + PROSE * 9, "GPL-3.0", 1),
+    (PROSE * 50 + "Licensed under CC BY-NC 4.0. " + PROSE, "CC-BY-NC-4.0", 1),
+    (PROSE + "\n" + PROSE + "Released under\nthe MIT License. " + PROSE, "MIT", 0),
+    ("Released under the MIT License. " + PROSE + "\n" + PROSE + " Released under the MIT License.", "MIT", 2),
+    ("Released under the MIT License.\n" * 3, "MIT", 3),
+    (PROSE * 20 + "a license to sell grain, and the general public came to the mill " + PROSE * 20, None, 0),
+    ("license license " + PROSE, None, 0),
+]
+
+
+def test_notices_among_other_words_are_headers(spark):
+    # frequencies as in a table of which few documents name a license
+    others = [f"{PROSE}under the {i}th version of the license at work" if i % 20 == 0 else PROSE for i in range(400)]
+    assert header(spark, [t for t, _, _ in NOTICES] + others) == [(name, n) for _, name, n in NOTICES]
+
+
+def test_windows_miss_nothing():
+    import numpy as np
+
+    pick = np.random.default_rng(13)
+    scorer = license_scan.Scorer(license_scan.TEMPLATES, 1000, {i: int(n) for i, n in enumerate(pick.integers(0, 900, 150))})
+    size = len(scorer.vocabulary.words)
+    number = {w: i for i, w in enumerate(scorer.vocabulary.words)}
+    words = []
+    for _ in range(40):
+        words += pick.integers(-30, size, pick.integers(0, 6)).clip(-1).tolist()
+        words += [number[w] if pick.random() < 0.8 else -1 for w in license_scan.template_words(license_scan.TEMPLATES[pick.integers(0, len(license_scan.TEMPLATES))][1])]
+    words = np.array(words)
+    row = np.arange(len(words)) // 97
+    found = set(zip(*(x.tolist() for x in license_scan.windows(scorer, row, words)), strict=True))
+    close = 0
+    for t, length in enumerate(scorer.lengths):
+        for reach in (length, length + length // 2):
+            for i in range(len(words)):
+                last = min(i + reach, int(np.searchsorted(row, row[i], "right")))
+                own = words[i:last]
+                bag = np.bincount(own[own >= 0], minlength=size)
+                weights = bag * scorer.idf
+                cosine = weights @ scorer.templates[t] / np.sqrt(weights @ weights + scorer.other**2 * (own < 0).sum() + 1e-300)
+                if words[i] >= 0 and scorer.templates[t, words[i]] and scorer.vocabulary.telling[own[own >= 0]].sum() >= 2 and cosine >= license_scan.HEADER_COSINE:
+                    close += 1
+                    assert (i, last) in found
+    assert close > 100
