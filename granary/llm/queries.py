@@ -33,12 +33,15 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path, so one is made: source, then directories of 10,000 and 100 ids."""
+    """Documents have no path, so one is made: source, then directories of 10,000 and 100 ids. The
+    first document of each 100 lies one directory higher and the first of each 10,000 two, so that
+    licenses are inherited through several directories."""
     from granary.llm import license_scan
 
     docs = _table(spark, sf_dir, "documents")
     folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    path = F.concat_ws("/", "source", folder(10_000), folder(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    below = lambda n: F.when(F.col("doc_id") % n != 0, folder(n))
+    path = F.concat_ws("/", "source", below(10_000), below(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return license_scan.licenses(docs.select("doc_id", path.alias("path"), "text"))
 
 

@@ -121,3 +121,18 @@ def test_windows_miss_nothing():
                     close += 1
                     assert (i, last) in found
     assert close > 100
+
+
+def test_the_query_inherits_from_directories_above(spark, tmp_path):
+    from granary.llm import queries
+
+    rows = [(10_000, MIT), (10_100, PROSE), (10_101, PROSE), (10_200, APACHE_NOTICE), (10_201, PROSE), (20_001, PROSE), (None, PROSE)]
+    spark.createDataFrame([(i, t, "web") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["path"], r["license"], r["license_from"]) for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got[10_000] == ("web/10000.txt", "MIT", "file")
+    assert got[10_200] == ("web/1/10200.txt", "Apache-2.0", "file")
+    assert got[10_100] == ("web/1/10100.txt", "Apache-2.0", "web/1")
+    assert got[10_101] == ("web/1/101/10101.txt", "Apache-2.0", "web/1")
+    assert got[10_201] == ("web/1/102/10201.txt", "Apache-2.0", "web/1")
+    assert got[20_001] == ("web/2/200/20001.txt", "MIT", "web")
+    assert len(got) == len(rows)
