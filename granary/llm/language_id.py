@@ -6,9 +6,9 @@ has the product over its words. No segmentation is chosen, in training or in sco
 is expectation maximisation with forward-backward counts, from equal probabilities, over the
 word counts of each language.
 
-Words are runs of letters, lower-cased; all else is dropped. Of every word whole letters are
-used, at most LONGEST_PIECE characters a piece; a character that no piece has costs a fixed
-factor. The vocabulary's ids, scores and order are not used, only its pieces.
+Words are runs of letters, lower-cased; all else is dropped. Words are never cut and no piece is
+too long; those of over LONG_WORD letters are summed in logarithms, as their probabilities may be
+too small for a float. A character that no piece has costs a fixed factor. The vocabulary's ids, scores and order are not used, only its pieces.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from granary.llm import _text
 from granary.llm._store import written
 
 MARK = "▁"
-LONGEST_PIECE = 8
+#: Longer words are summed in logarithms. At UNKNOWN a letter, shorter ones do not underflow.
+LONG_WORD = 24
 #: At most about so many labelled documents are learned from.
 SAMPLE_DOCS = 20_000
 ROUNDS = 3
@@ -42,7 +43,7 @@ def pieces_of(file: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=file)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(p for p in found if len(p) <= LONGEST_PIECE and (p[1:] if p[0] == MARK else p).isalpha())
+    return sorted(p for p in found if (p[1:] if p[0] == MARK else p).isalpha())
 
 
 class Lattice:
@@ -50,23 +51,33 @@ class Lattice:
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
+        self.beginnings = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.none = len(pieces)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """[word, end, length - 1]: the piece that ends there, or `none`. Words have one length."""
         n, width = len(words), len(words[0]) + 1
-        out = np.full((n, width + 1, LONGEST_PIECE), self.none, np.int32)
-        get, none = self.pieces.get, self.none
+        out = np.full((n, width + 1, self.longest), self.none, np.int32)
+        get, none, beginnings = self.pieces.get, self.none, self.beginnings
         for i, word in enumerate(words):
             marked = MARK + word
-            for end in range(1, width + 1):
-                for size in range(1, min(end, LONGEST_PIECE) + 1):
-                    found = get(marked[end - size : end], none)
+            for start in range(width):
+                for end in range(start + 1, width + 1):
+                    part = marked[start:end]
+                    if part not in beginnings:
+                        break
+                    found = get(part, none)
                     if found != none:
-                        out[i, end, size - 1] = found
+                        out[i, end, end - start - 1] = found
         return out
 
 
+def _held(ids: np.ndarray, none: int) -> list[list[int]]:
+    """By end, the sizes of pieces that some word has there."""
+    return [(np.flatnonzero(x) + 1).tolist() for x in (ids != none).any(axis=0)]
+
+
 def _with_none(probabilities: np.ndarray) -> np.ndarray:
     return np.concatenate([probabilities, np.zeros((1, probabilities.shape[1]))])
 
@@ -74,56 +85,82 @@ def _with_none(probabilities: np.ndarray) -> np.ndarray:
 def forward(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """[word, place, language]: the summed probability of all segmentations up to each place.
     One unknown character may always be passed, at the price of UNKNOWN."""
-    n, places, sizes = ids.shape
-    table = _with_none(probabilities)
+    n, places, _ = ids.shape
+    table, held = _with_none(probabilities), _held(ids, len(probabilities))
     alpha = np.zeros((n, places, table.shape[1]))
     alpha[:, 0] = 1
     for end in range(1, places):
         total = UNKNOWN * alpha[:, end - 1]
-        for size in range(1, min(end, sizes) + 1):
+        for size in held[end]:
             total = total + table[ids[:, end, size - 1]] * alpha[:, end - size]
         alpha[:, end] = total
     return alpha
 
 
+def log_forward(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
+    """The logarithms of `forward`, for words of any length."""
+    n, places, _ = ids.shape
+    with np.errstate(divide="ignore"):
+        table, held = np.log(_with_none(probabilities)), _held(ids, len(probabilities))
+    alpha = np.zeros((n, places, table.shape[1]))
+    for end in range(1, places):
+        total = np.log(UNKNOWN) + alpha[:, end - 1]
+        for size in held[end]:
+            total = np.logaddexp(total, table[ids[:, end, size - 1]] + alpha[:, end - size])
+        alpha[:, end] = total
+    return alpha
+
+
 def expected(ids: np.ndarray, probabilities: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Expected piece counts [piece, language] of words with weights [word, language]."""
-    n, places, sizes = ids.shape
-    table = _with_none(probabilities)
+    n, places, _ = ids.shape
+    if places > LONG_WORD + 2:
+        return _log_expected(ids, probabilities, weights)
+    table, held = _with_none(probabilities), _held(ids, len(probabilities))
     alpha = forward(ids, probabilities)
     beta = np.zeros_like(alpha)
     beta[:, -1] = 1
-    for at in range(places - 2, -1, -1):
-        total = UNKNOWN * beta[:, at + 1]
-        for size in range(1, min(sizes, places - 1 - at) + 1):
-            total = total + table[ids[:, at + size, size - 1]] * beta[:, at + size]
-        beta[:, at] = total
+    for at in range(places - 1, 0, -1):
+        beta[:, at - 1] += UNKNOWN * beta[:, at]
+        for size in held[at]:
+            beta[:, at - size] += table[ids[:, at, size - 1]] * beta[:, at]
     scale = weights / np.maximum(alpha[:, -1], 1e-300)
     out = np.zeros(table.shape)
     for end in range(1, places):
-        for size in range(1, min(end, sizes) + 1):
+        for size in held[end]:
             own = ids[:, end, size - 1]
             some = np.flatnonzero(own < len(probabilities))
-            if len(some):
-                np.add.at(out, own[some], alpha[some, end - size] * table[own[some]] * beta[some, end] * scale[some])
+            np.add.at(out, own[some], alpha[some, end - size] * table[own[some]] * beta[some, end] * scale[some])
     return out[:-1]
 
 
-_LONG_WORD = 24
+def _log_expected(ids: np.ndarray, probabilities: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """`expected` in logarithms."""
+    n, places, _ = ids.shape
+    with np.errstate(divide="ignore"):
+        table, held = np.log(_with_none(probabilities)), _held(ids, len(probabilities))
+    alpha = log_forward(ids, probabilities)
+    beta = np.full_like(alpha, -np.inf)
+    beta[:, -1] = 0
+    out = np.zeros(table.shape)
+    for at in range(places - 1, 0, -1):
+        beta[:, at - 1] = np.logaddexp(beta[:, at - 1], np.log(UNKNOWN) + beta[:, at])
+        for size in held[at]:
+            own = ids[:, at, size - 1]
+            through = table[own] + beta[:, at]
+            beta[:, at - size] = np.logaddexp(beta[:, at - size], through)
+            np.add.at(out, own, np.exp(alpha[:, at - size] + through - alpha[:, -1]) * weights)
+    return out[:-1]
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
-    for at in groups.values():
-        for k in range(0, len(at), 2048):
-            yield at[k : k + 2048], [words[i] for i in at[k : k + 2048]]
-
-
-def _cut(word: str) -> list[str]:
-    """Words of over _LONG_WORD letters are scored in parts of that length."""
-    return [word] if len(word) <= _LONG_WORD else [word[i : i + _LONG_WORD] for i in range(0, len(word), _LONG_WORD)]
+    for length, at in groups.items():
+        step = 2048 if length <= LONG_WORD else max(1, 2048 * LONG_WORD // length)
+        for k in range(0, len(at), step):
+            yield at[k : k + step], [words[i] for i in at[k : k + step]]
 
 
 def letters_of(text: str) -> list[str]:
@@ -171,8 +208,7 @@ def train(docs: DataFrame, file: str, sample: int = SAMPLE_DOCS, rounds: int = R
         for batch in batches:
             for text, lang in zip(_text.column(batch, "text"), _text.column(batch, "lang").to_pylist(), strict=True):
                 for word in letters_of(text.as_py()):
-                    for part in _cut(word):
-                        counts[lang, part] += 1
+                    counts[lang, word] += 1
                 if len(counts) > 300_000:
                     yield flush()
         if counts:
@@ -223,12 +259,12 @@ class Scorer:
             self.known.clear()
             self.scores = self.scores[:0]
         new = np.zeros((len(words), len(self.model.languages)))
-        parts = [_cut(w) for w in words]
-        flat = [p for own in parts for p in own]
-        owner = np.repeat(np.arange(len(words)), [len(x) for x in parts])
-        for at, some in _by_length(flat):
-            alpha = forward(self.lattice.ids(some), self.model.probabilities)[:, -1]
-            np.add.at(new, owner[at], np.log(np.maximum(alpha, 1e-300)))
+        for at, some in _by_length(words):
+            ids = self.lattice.ids(some)
+            if len(some[0]) <= LONG_WORD:
+                new[at] = np.log(np.maximum(forward(ids, self.model.probabilities)[:, -1], 1e-300))
+            else:
+                new[at] = log_forward(ids, self.model.probabilities)[:, -1]
         first = len(self.scores)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, new])
