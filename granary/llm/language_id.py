@@ -186,15 +186,30 @@ class Model:
         self.languages, self.pieces, self.probabilities = languages, pieces, probabilities
 
 
+def _cutoffs(sizes: list[int], sample: int) -> list[int]:
+    """The greatest 64-bit hash to keep of each language, so that about `sample` documents are
+    kept, as many of each language as of others, or all that it has."""
+    out, left = [0] * len(sizes), sample
+    for k, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        quota = min(sizes[i], left / (len(sizes) - k))
+        left -= quota
+        out[i] = 2**63 - 1 if quota == sizes[i] else int((2 * quota / sizes[i] - 1) * (2**63 - 1))
+    return out
+
+
 def train(docs: DataFrame, file: str, sample: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Learns from text and lang of labelled documents that are not held out: a sample by a hash
-    of doc_id of about `sample` documents. Words are counted in Spark; each round's expected
+    of doc_id of about `sample` documents, dealt evenly over the languages; every language has at
+    least one. Words are counted in Spark; each round's expected
     counts are summed there, and |pieces| * |languages| numbers reach the driver."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    total = labelled.count()
-    share = min(1.0, sample / max(1, total))
-    picked = labelled.where(F.xxhash64("doc_id", F.lit(5)) < F.lit(int((2 * share - 1) * (2**63 - 1)))) if share < 1 else labelled
+    key = F.xxhash64("doc_id", F.lit(5))
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(key).alias("least")).collect()
+    picked = labelled
+    if sum(r["n"] for r in found) > sample:
+        rows = [(r["lang"], max(r["least"], most)) for r, most in zip(found, _cutoffs([r["n"] for r in found], sample), strict=True)]
+        picked = labelled.join(F.broadcast(spark.createDataFrame(rows, "lang string, most long")), "lang").where(key <= F.col("most"))
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

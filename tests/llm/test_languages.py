@@ -52,3 +52,20 @@ def test_counts_of_long_words_are_slopes():
         up[i] *= 1 + 1e-6
         slope = (log_total(word, pieces, up, 0) - log_total(word, pieces, p, 0)) / 1e-6
         assert abs(2 * slope - counts[i, 0]) < 1e-3 and counts[i, 1] == 0
+
+
+def test_no_language_is_lost_in_the_sample(spark):
+    texts = [("the mill by the river", "en")] * 3000 + [("mylly joen varrella", "fi")] * 4 + [("moulin au bord", "fr")] * 400
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    for sample in (60, 1):
+        model = language_id.train(docs, PIECES, sample=sample, rounds=1)
+        assert model.languages == ["en", "fi", "fr"]
+    got = language_id.identify(docs, model).join(docs, "doc_id").where(F.col("lang") != F.col("lang_pred")).count()
+    assert got == 0
+
+
+def test_samples_are_dealt_evenly():
+    share = lambda cutoff: (cutoff / (2**63 - 1) + 1) / 2
+    sizes = [6_000_000, 10, 40_000, 100]
+    kept = [share(c) * n for c, n in zip(language_id._cutoffs(sizes, 20_000), sizes, strict=True)]
+    assert np.allclose(kept, [9945, 10, 9945, 100], atol=1e-3)
