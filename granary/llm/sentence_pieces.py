@@ -7,18 +7,18 @@ the library, with a copy of the model that normalises nothing, and the recorded
 every piece back to a span of original bytes. Spans follow each other and cover the text: a
 dummy prefix has an empty span, a byte piece has the span of its one byte.
 
-Where the model has no character map and keeps white space as it is, normalising means no more
-than a dummy prefix and a mark for each space. Rows are then cut, in a flat buffer, before every
-run of spaces and around line ends (no piece crosses those; this is read from the vocabulary),
-each distinct chunk is encoded once, and a bounded store holds its ids. Rows with a literal mark
-character, and all rows of other models, take the general way.
+Whole buffers are normalised at once: the trie is entered only where a byte begins one of its
+keys, all other characters are copied by vector operations, and both write the same alignment.
+Where no piece of the vocabulary crosses a space mark or a line end, the normalised rows are cut
+there, each distinct chunk is encoded once, and a bounded store that compares bytes holds its
+ids. Rows of other models are chunks of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +39,23 @@ class CharacterMap:
         size = int.from_bytes(raw[:4], "little") if len(raw) > 4 else 0
         self.units = np.frombuffer(raw, "<u4", size // 4, 4).tolist() if size else []
         self.replacements = raw[4 + size :] if size else b""
+        self.begins = np.zeros(256, bool)
+        if self.units:
+            root = self._step(self.units[0])
+            self.begins[[c for c in range(1, 256) if (root ^ c) < len(self.units) and self.units[root ^ c] & 0x800000FF == c]] = True
 
-    def longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
-        """The replacement of the longest prefix of data[at:] in the map and its length."""
+    @staticmethod
+    def _step(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def longest(self, data: bytes, at: int, end: int | None = None) -> tuple[bytes, int] | None:
+        """The replacement of the longest prefix of data[at:end] in the map and its length."""
         units = self.units
         if not units:
             return None
-        step = lambda unit: (unit >> 10) << ((unit & 0x200) >> 6)
+        step = self._step
         node, found = step(units[0]), None
-        for i in range(at, len(data)):
+        for i in range(at, len(data) if end is None else end):
             node ^= data[i]
             if node >= len(units):
                 break
@@ -85,13 +93,13 @@ class Codec:
         self.after = [self.library.eos_id()] if add_eos else []
         self.kinds = kinds
         plain_kinds = {_NORMAL, _CONTROL, _BYTE, 2}
-        self.flat = (
-            not self.map.units and self.dummy and not self.tidy and self.escape and not self.suffix
-            and {*kinds} <= plain_kinds and kinds.count(_BYTE) == 256
-            and not any("\n" in t or MARK in t.lstrip(MARK) for t, k in zip(texts, kinds, strict=True) if k == _NORMAL)
-        )
+        #: No id is lost in its piece's text, so spans and decoded text follow from the ids.
+        self.plain_kinds = {*kinds} <= {2, _NORMAL, _CONTROL, _BYTE} and kinds.count(_BYTE) == 256
+        self.cuts = self.plain_kinds and self.escape and not self.suffix and not any("\n" in t or MARK in t.lstrip(MARK) for t, k in zip(texts, kinds, strict=True) if k == _NORMAL)
         shown = [bytes([int(t[3:5], 16)]) if k == _BYTE else t.replace(MARK, " ").encode() if k == _NORMAL else b"" for t, k in zip(texts, kinds, strict=True)]
         self.sizes = np.array([len(x) for x in shown], np.int64)
+        #: Bytes of each id in the normalised text.
+        self.widths = np.array([1 if k == _BYTE else len(t.encode()) if k == _NORMAL else 0 for t, k in zip(texts, kinds, strict=True)], np.int64)
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_at = np.cumsum(self.sizes) - self.sizes
         digits = [str(i).encode() + b" " for i in range(len(texts))]
@@ -103,143 +111,140 @@ class Codec:
         rules.add_dummy_prefix = rules.remove_extra_whitespaces = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.store = _text.Store(np.uint32, most_chunks)
-
-    # --- the general way
-
-    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes and, for each of them and for the end, the source offset."""
-        out = bytearray()
-        align: list[int] = []
-        space = MARK.encode() if self.escape else b" "
-        at, end = 0, len(data)
-
-        def prefix(at: int) -> tuple[bytes, int]:
-            if found := self.map.longest(data, at):
-                return found
-            lead = data[at]
-            size = 1 if lead < 0x80 else 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
-            char = data[at : at + size]
-            try:
-                char.decode()
-            except UnicodeDecodeError:
-                size = 0
-            return (char, size) if size and len(char) == size else ("�".encode(), 1)
-
-        if self.tidy:
-            while at < end and (step := prefix(at))[0] == b" ":
-                at += step[1]
-        if at == end:
-            return b"", np.array([end], np.int64)
-
-        def put(x: bytes, source: int) -> None:
-            out.extend(x)
-            align.extend([source] * len(x))
-
-        if self.dummy and not self.suffix:
-            put(space, at)
-        spaced = self.tidy
-        while at < end:
-            new, size = prefix(at)
-            if spaced:
-                new = new.lstrip(b" ")
-            if new:
-                for i in range(len(new)):
-                    put(space if new[i : i + 1] == b" " else new[i : i + 1], at)
-                spaced = self.tidy and new.endswith(b" ")
-            at += size
-        align.append(end)
-        if self.tidy:
-            while out.endswith(space) and len(out) >= len(space):
-                del out[-len(space) :]
-                end = align[len(out)]
-                align = align[: len(out)] + [end]
-        if self.dummy and self.suffix:
-            put_at = align.pop()
-            put(space, put_at)
-            align.append(put_at)
-        return bytes(out), np.array(align, np.int64)
-
-    def _general(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, source offset at which each piece ends) of one text."""
-        text, align = self.normalise(data)
-        pieces = self.plain.encode(text.decode("utf-8", "replace"), return_type="proto").pieces
-        ids = np.array([p.id for p in pieces], np.int64)
-        sizes = [1 if self.kinds[p.id] == _BYTE else len(p.piece.encode()) for p in pieces]
-        ends = np.minimum(np.cumsum(sizes, dtype=np.int64), len(align) - 1)
-        return ids, align[ends]
-
-    # --- flat buffers
-
-    def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Starts of the chunks of a buffer whose rows begin with a space."""
+        #: Decoding is the pieces' texts end to end, without the dummy prefix.
+        self.simple = self.plain_kinds and self.dummy and not self.tidy and self.escape and not self.suffix
+
+    # --- encoding
+
+    def normalised(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows of a flat buffer: normalised bytes, the rows' bounds in them, for each byte
+        its source offset within its row, and each row's source offset where its last byte's
+        source ends. A copied byte comes from itself, a replaced prefix's bytes from its first
+        one, a dummy prefix from the character that it stands before. Bytes that are no UTF-8
+        become U+FFFD."""
+        data, offsets, where = self._whole(data, offsets)
+        rows = len(offsets) - 1
+        flat, source = data, np.arange(len(data))
+        if self.map.begins.any():
+            start = np.flatnonzero((data & 0xC0) != 0x80)
+            row_end = offsets[np.searchsorted(offsets, start, "right")] if len(start) else start
+            keep, raw, after = np.ones(len(data), bool), data.tobytes(), 0
+            into, by = [], []
+            for i in np.flatnonzero(self.map.begins[data[start]]).tolist():
+                at = int(start[i])
+                if at >= after and (found := self.map.longest(raw, at, int(row_end[i]))):
+                    after = at + found[1]
+                    keep[at:after] = False
+                    into.append(at)
+                    by.append(found[0])
+            lengths = np.array([len(x) for x in by], np.int64)
+            flat = np.concatenate([data[keep], np.frombuffer(b"".join(by), np.uint8)])
+            source = np.concatenate([np.flatnonzero(keep), np.repeat(np.array(into, np.int64), lengths)])
+            order = np.argsort(source, kind="stable")
+            flat, source = flat[order], source[order]
+        row = np.searchsorted(offsets, source, "right") - 1 if self.map.begins.any() or self.tidy else np.repeat(np.arange(rows), np.diff(offsets))
+        space, ends = flat == 0x20, offsets[1:].copy()
+        if self.tidy and len(flat):
+            first = np.concatenate([[True], row[1:] != row[:-1]])
+            again = space & (first | np.concatenate([[False], space[:-1]]))
+            flat, source, row, space = (x[~again] for x in (flat, source, row, space))
+            last = np.concatenate([row[1:] != row[:-1], [True]])[: len(row)] & space
+            ends[row[last]] = source[last]
+            flat, source, row, space = (x[~last] for x in (flat, source, row, space))
+        counts = np.bincount(row, minlength=rows)
+        if self.dummy:
+            some = np.flatnonzero(counts if self.tidy else np.diff(offsets))
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            spot, at = (bounds[some + 1], ends[some]) if self.suffix else (bounds[some], offsets[some])
+            if self.tidy and not self.suffix:
+                at = source[bounds[some]]
+            flat, source, space = np.insert(flat, spot, 0x20), np.insert(source, spot, at), np.insert(space, spot, True)
+            counts[some] += 1
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        if self.escape:
+            width = np.where(space, 3, 1)
+            total = np.concatenate([[0], np.cumsum(width)])
+            flat, source, bounds = np.repeat(flat, width), np.repeat(source, width), total[bounds]
+            marks = total[1:][space] - 3
+            for i, byte in enumerate(MARK.encode()):
+                flat[marks + i] = byte
+        begin = where(offsets[:-1])
+        return flat, bounds, where(source) - np.repeat(begin, np.diff(bounds)), where(ends) - begin
+
+    @staticmethod
+    def _whole(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """The buffer as it is: Spark's strings are UTF-8; only bytes that are not are replaced."""
+        try:
+            data.tobytes().decode()
+            return data, offsets, lambda x: x
+        except UnicodeDecodeError:
+            pass
+        parts, places, bounds = [], [], [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            at, own = a, []
+            for char in data[a:b].tobytes().decode("utf-8", "surrogateescape"):
+                fixed = char.encode() if not 0xDC80 <= ord(char) <= 0xDCFF else "\ufffd".encode()
+                own.append(fixed)
+                places += [at] * len(fixed)
+                at += 1 if 0xDC80 <= ord(char) <= 0xDCFF else len(fixed)
+            parts.append(b"".join(own))
+            bounds.append(bounds[-1] + len(parts[-1]))
+        known = np.array([*places, int(offsets[-1])], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64), lambda x: known[x]
+
+    def _chunks(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Starts of the chunks of normalised rows: before every run of marks, around line ends."""
         n = len(data)
         edge = np.zeros(n, bool)
-        space, line = data == 0x20, data == 0x0A
-        edge[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-        edge[offsets[:-1][np.diff(offsets) > 0]] = True
+        if self.cuts and n > 2:
+            mark = np.zeros(n + 3, bool)
+            mark[3:-2] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+            edge |= mark[3:] & ~mark[:-3]
+            line = data == 0x0A
+            edge[1:] |= line[1:] | line[:-1]
+        edge[bounds[:-1][np.diff(bounds) > 0]] = True
         return np.flatnonzero(edge)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a flat buffer's rows: ids end to end, the source offset within its row at which
         each id's span ends (a span begins where the one before ends), and ids for each row."""
-        rows = len(offsets) - 1
-        marked = np.zeros(rows, bool)
-        if self.flat and len(data):
-            spots = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else []
-            marked[np.searchsorted(offsets, spots, "right") - 1] = True
-        elif not self.flat:
-            marked[:] = True
-        sizes = np.diff(offsets)
-        easy = ~marked & (sizes > 0)
-        ids, ends, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
-        if easy.any():
-            new_sizes = sizes[easy] + 1
-            new_at = np.concatenate([[0], np.cumsum(new_sizes)])
-            flat = np.full(int(new_at[-1]), 0x20, np.uint8)
-            into = np.ones(len(flat), bool)
-            into[new_at[:-1]] = False
-            flat[into] = data[np.repeat(easy, sizes)] if not easy.all() else data
-            starts = self._chunks(flat, new_at)
-            stops = np.append(starts[1:], len(flat))
-            keys = _text.span_hashes(flat, starts, stops)
-            distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            slots = self.store.find(distinct)
-            new = np.flatnonzero(slots < 0)
-            if len(new):
-                if self.store.full(len(new)):
-                    self.store.clear()
-                    new = np.arange(len(distinct))
-                texts = [flat[a:b].tobytes().decode("utf-8", "replace").replace(" ", MARK) for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)]
-                got = self.plain.encode(texts, num_threads=1)
-                lengths = np.fromiter(map(len, got), np.int64, len(got))
-                slots[new] = self.store.add(distinct[new], np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum())), lengths)
-            slots = slots[inverse]
-            lengths = self.store.lengths[slots]
-            ids = self.store.flat[_text.ragged(self.store.offsets[slots], lengths)].astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(lengths)])
-            counts[easy] = np.diff(total[np.searchsorted(starts, new_at, "left")])
-            ends = np.cumsum(self.sizes[ids]) - np.repeat(new_at[:-1], counts[easy]) - 1
-        hard = np.flatnonzero(marked & (sizes > 0))
-        if len(hard) or self.before or self.after:
-            parts = np.split(ids, np.cumsum(counts)[:-1]) if len(hard) else None
-            if parts is not None:
-                spans = np.split(ends, np.cumsum(counts)[:-1])
-                for i in hard.tolist():
-                    parts[i], spans[i] = self._general(data[offsets[i] : offsets[i + 1]].tobytes())
-                    counts[i] = len(parts[i])
-                ids, ends = np.concatenate(parts), np.concatenate(spans)
-            if self.after:
-                at = np.cumsum(counts)
-                ids, ends, counts = np.insert(ids, at, self.after[0]), np.insert(ends, at, sizes), counts + 1
-            if self.before:
-                at = np.cumsum(counts) - counts
-                ids, ends, counts = np.insert(ids, at, self.before[0]), np.insert(ends, at, 0), counts + 1
+        flat, bounds, align, row_end = self.normalised(data, offsets)
+        starts = self._chunks(flat, bounds)
+        stops = np.append(starts[1:], len(flat))[: len(starts)]
+
+        def make(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            texts = [flat[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[places].tolist(), stops[places].tolist(), strict=True)]
+            got = self.plain.encode(texts, num_threads=1)
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum())), lengths
+
+        if self.plain_kinds:
+            ids, lengths = self.store.sequences(flat, starts, stops, make)
+            ids = ids.astype(np.int64)
+            widths = self.widths[ids]
+        else:  # a piece's text may be any: take it from the library, row by row
+            pieces = [self.plain.encode(flat[a:b].tobytes().decode("utf-8", "replace"), return_type="proto").pieces for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+            ids = np.array([p.id for own in pieces for p in own], np.int64)
+            widths = np.array([1 if self.kinds[p.id] == _BYTE else len(p.surface.encode()) for own in pieces for p in own], np.int64)
+            lengths = np.array([len(own) for own in pieces], np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        counts = np.diff(total[np.searchsorted(starts, bounds, "left")])
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.minimum(np.cumsum(widths), bounds[row + 1]) if len(ids) else np.zeros(0, np.int64)
+        whole = place >= bounds[row + 1]
+        ends = np.where(whole, row_end[row], align[np.minimum(place, max(0, len(align) - 1))] if len(align) else place)
+        if self.after:
+            at = np.cumsum(counts)
+            ids, ends, counts = np.insert(ids, at, self.after[0]), np.insert(ends, at, np.diff(offsets)), counts + 1
+        if self.before:
+            at = np.cumsum(counts) - counts
+            ids, ends, counts = np.insert(ids, at, self.before[0]), np.insert(ends, at, 0), counts + 1
         return ids, ends, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of the library's decode() of each row's ids."""
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        if not self.flat:
+        if not self.simple:
             return [self.library.decode(ids[a:b].tolist()).encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         sizes = self.sizes[ids]
         data = self.shown[_text.ragged(self.shown_at[ids], sizes)]

@@ -8,12 +8,13 @@ characters, special tokens, words of over 48 bytes) goes to the library, chunk b
 
 `write` puts documents in ascending doc_id order into segment files, and `read` gives every
 document's position back from those files alone. A segment file is
-    b"IDSEG001", then 6 little-endian u64: documents, ids, bytes per id (2 where the vocabulary
-    has at most 65,536 ids, else 4), low bits per boundary, bytes of low bits, bytes of high bits;
-    doc_ids (i64 each; the least i64 stands for null); low bits; high bits; ids.
-The n + 1 boundaries of a segment are kept by Elias-Fano: `low` bits of each in a packed array,
-the rest in unary in a bit vector, 2 + low bits a document; `select` finds a boundary from
-sampled positions of ones.
+    b"IDSEG002", then 11 little-endian u64: documents, ids, bytes per id (2 where the vocabulary
+    has at most 65,536 ids, else 4), null doc_ids, the least other doc_id; then for the doc_ids
+    less the least one, and for the n + 1 boundaries: low bits per value, bytes of low bits,
+    bytes of high bits; low and high bits of both; ids.
+doc_ids and boundaries are kept by Elias-Fano: `low` bits of each value in a packed array, the
+rest in unary in a bit vector, 2 + low bits a value. `selected` finds a run of values from
+sampled positions of ones; readers ask for READ_DOCS at a time and never expand a whole table.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from pyspark.sql import types as T
 from granary.llm import _text
 from granary.llm._store import folder, written
 
-MAGIC = b"IDSEG001"
+MAGIC = b"IDSEG002"
 #: Ids in a segment, about; a segment holds whole documents.
 SEGMENT_IDS = 1 << 22
 NULL_ID = -(2**63)
+#: Boundaries that a reader selects at once.
+READ_DOCS = 4096
 
 
 # --- Elias-Fano -----------------------------------------------------------------------------
@@ -53,7 +56,7 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.uint64)
+        values = np.asarray(values).astype(np.uint64)
         n, last = len(values), int(values[-1]) if len(values) else 0
         low = max(0, (last // max(n, 1)).bit_length() - 1) if last >= n > 0 else 0
         bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
@@ -73,23 +76,28 @@ class EliasFano:
         return self._ranks
 
     def select(self, i: int) -> int:
-        """The i-th value, from the block that holds the i-th one."""
+        """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        block = int(np.searchsorted(self._sampled(), i, "right")) - 1
-        first = block * self.SAMPLE // 8
-        ones = np.flatnonzero(np.unpackbits(self.highs[first : first + self.SAMPLE // 8], bitorder="little"))
-        high = first * 8 + int(ones[i - int(self._ranks[block])]) - i
-        start = i * self.low
-        part = np.unpackbits(self.lows[start // 8 : (start + self.low + 7) // 8], bitorder="little")[start % 8 : start % 8 + self.low]
-        return high << self.low | int(part.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64)) if self.low else 0)
-
-    def all(self) -> np.ndarray:
-        """Every value in order."""
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return ((high << np.uint64(self.low)) | (bits @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64)) if self.low else np.zeros(self.n, np.uint64))).astype(np.int64)
+        return int(self.selected(i, i + 1)[0])
+
+    def selected(self, first: int, last: int) -> np.ndarray:
+        """The values of ranks first to last - 1, from the blocks of bits that hold their ones."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        begin, end = (int(x) - 1 for x in np.searchsorted(self._sampled(), [first, last - 1], "right"))
+        step = self.SAMPLE // 8
+        ones = np.flatnonzero(np.unpackbits(self.highs[begin * step : (end + 1) * step], bitorder="little"))
+        ones = ones[first - int(self._ranks[begin]) :][: last - first] + begin * self.SAMPLE
+        high = (ones - np.arange(first, last)).astype(np.uint64)
+        if not self.low:
+            return high.view(np.int64)
+        start = first * self.low
+        bits = np.unpackbits(self.lows[start // 8 : (last * self.low + 7) // 8], bitorder="little")[start % 8 :][: (last - first) * self.low]
+        low = bits.reshape(-1, self.low).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
+        return ((high << np.uint64(self.low)) | low).view(np.int64)
 
     def bits(self) -> int:
         return 8 * (len(self.lows) + len(self.highs))
@@ -98,10 +106,15 @@ class EliasFano:
 # --- segment files --------------------------------------------------------------------------
 
 def pack_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """`ids` are little-endian u2 or u4, and stay so."""
+    """`doc_ids` are ascending longs, nulls as NULL_ID; `ids` are little-endian u2 or u4."""
+    doc_ids = np.asarray(doc_ids, np.int64)
+    nulls = int(np.searchsorted(doc_ids, NULL_ID, "right"))
+    least = int(doc_ids[nulls]) if nulls < len(doc_ids) else 0
     bounds = EliasFano.of(np.concatenate([[0], np.cumsum(lengths)]))
-    head = np.array([len(doc_ids), len(ids), ids.dtype.itemsize, bounds.low, len(bounds.lows), len(bounds.highs)], "<u8")
-    return b"".join([MAGIC, head.tobytes(), np.asarray(doc_ids, "<i8").tobytes(), bounds.lows.tobytes(), bounds.highs.tobytes(), ids.tobytes()])
+    names = EliasFano.of(doc_ids[nulls:].view(np.uint64) - np.array(least, np.int64).view(np.uint64))
+    sizes = [x for made in (names, bounds) for x in (made.low, len(made.lows), len(made.highs))]
+    head = np.array([len(doc_ids), len(ids), ids.dtype.itemsize, nulls, least % 2**64, *sizes], "<u8")
+    return b"".join([MAGIC, head.tobytes(), *(part.tobytes() for made in (names, bounds) for part in (made.lows, made.highs)), ids.tobytes()])
 
 
 class Segment:
@@ -110,17 +123,23 @@ class Segment:
     def __init__(self, raw: bytes) -> None:
         if raw[:8] != MAGIC:
             raise ValueError("not a segment of token ids")
-        n, n_ids, width, low, n_low, n_high = (int(x) for x in np.frombuffer(raw, "<u8", 6, 8))
-        at = 56
-        self.doc_ids = np.frombuffer(raw, "<i8", n, at)
-        lows = np.frombuffer(raw, np.uint8, n_low, at := at + 8 * n)
-        highs = np.frombuffer(raw, np.uint8, n_high, at := at + n_low)
-        self.bounds = EliasFano(n + 1, low, lows, highs)
-        self.ids = np.frombuffer(raw, f"<u{width}", n_ids, at + n_high)
+        self.n, n_ids, width, self.nulls, self.least, *sizes = (int(x) for x in np.frombuffer(raw, "<u8", 11, 8))
+        at = 96
+        made = []
+        for n, (low, n_low, n_high) in ((self.n - self.nulls, sizes[:3]), (self.n + 1, sizes[3:])):
+            made.append(EliasFano(n, low, np.frombuffer(raw, np.uint8, n_low, at), np.frombuffer(raw, np.uint8, n_high, at + n_low)))
+            at += n_low + n_high
+        self.names, self.bounds = made
+        self.ids = np.frombuffer(raw, f"<u{width}", n_ids, at)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
+    def doc_ids(self, first: int, last: int) -> np.ndarray:
+        """doc_ids of documents first to last - 1, NULL_ID for null."""
+        named = self.names.selected(max(0, first - self.nulls), max(0, last - self.nulls)).view(np.uint64) + np.uint64(self.least)
+        return np.concatenate([np.full(last - first - len(named), NULL_ID), named.view(np.int64)])
+
 
 def _save(uri: str, name: str, raw: bytes) -> None:
     """Writes under another name, then renames: a lost or repeated task leaves whole files."""
@@ -170,7 +189,7 @@ class WordEncoder:
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
-        self.store = _text.Store(np.uint32, most_words)
+        self.store, self.chunks = (_text.Store(np.uint32, most_words) for _ in range(2))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -212,46 +231,42 @@ class WordEncoder:
         keep = symbols >= 0
         return symbols[keep], keep.sum(axis=1)
 
-    def _new(self, data: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of spans, laid end to end: lower-case words by merges, the others by the library."""
+    def _merges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words, laid end to end, and their numbers."""
         sizes = ends - starts
         counts = np.zeros(len(starts), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in np.unique(sizes[~whole]):
-            which = np.flatnonzero(~whole & (sizes == size))
-            flat, n = self._merged(data[starts[which][:, None] + np.arange(size)])
-            counts[which] = n
+        for size in np.unique(sizes):
+            which = np.flatnonzero(sizes == size)
+            flat, counts[which] = self._merged(data[starts[which][:, None] + np.arange(size)])
             parts.append((which, flat))
-        which = np.flatnonzero(whole)
-        if len(which):
-            texts = [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[which], ends[which], strict=True)]
-            got = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
-            counts[which] = [len(x) for x in got]
-            parts.append((which, np.array([i for x in got for i in x], np.int64)))
         at = np.cumsum(counts) - counts
-        flat = np.zeros(int(counts.sum()), np.uint32)
+        out = np.zeros(int(counts.sum()), np.uint32)
         for which, ids in parts:
-            flat[_text.ragged(at[which], counts[which])] = ids
-        return flat, counts
+            out[_text.ragged(at[which], counts[which])] = ids
+        return out, counts
+
+    def _by_library(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        got = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a flat UTF-8 buffer, end to end, and their number in each row."""
         starts, ends, whole, data = self.split(raw, offsets)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        keys = np.where(whole, _text.mix(_text.span_hashes(raw, starts, ends) + np.uint64(1)), _text.span_hashes(data, starts, ends))
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        slots = self.store.find(distinct)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            if self.store.full(len(new)):
-                self.store.clear()
-                new = np.arange(len(distinct))
-            at = first[new]
-            slots[new] = self.store.add(distinct[new], *self._new(data, raw, starts[at], ends[at], whole[at]))
-        slots = slots[inverse]
-        lengths = self.store.lengths[slots]
-        ids = self.store.flat[_text.ragged(self.store.offsets[slots], lengths)]
+        parts = []
+        for own, buffer, store, make in ((~whole, data, self.store, self._merges), (whole, raw, self.chunks, self._by_library)):
+            places = np.flatnonzero(own)
+            first, last = starts[places], ends[places]
+            new = lambda at, buffer=buffer, first=first, last=last, make=make: make(buffer, first[at], last[at])
+            parts.append((places, *store.sequences(buffer, first, last, new)))
+        lengths = np.zeros(len(starts), np.int64)
+        for places, _, own in parts:
+            lengths[places] = own
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        at = np.cumsum(lengths) - lengths
+        for places, flat, own in parts:
+            ids[_text.ragged(at[places], own)] = flat
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[_text.rows_of(starts, offsets)])
 
@@ -410,11 +425,14 @@ def read(where: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for name, start in zip(_text.column(batch, "name").to_pylist(), _text.column(batch, "start").to_pylist(), strict=True):
                 segment = Segment(_load(where, name))
-                bounds = segment.bounds.all()
-                raw = memoryview(segment.ids.astype("<u4").tobytes())
-                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                ids = pa.array(segment.doc_ids, mask=segment.doc_ids == NULL_ID)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for first in range(0, segment.n, READ_DOCS):
+                    last = min(segment.n, first + READ_DOCS)
+                    bounds = segment.bounds.selected(first, last + 1)
+                    raw = memoryview(segment.ids[bounds[0] : bounds[-1]].astype("<u4").tobytes())
+                    places = (4 * (bounds - bounds[0])).tolist()
+                    crcs = [zlib.crc32(raw[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+                    own = segment.doc_ids(first, last)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark = manifest.sparkSession
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

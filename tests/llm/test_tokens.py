@@ -44,7 +44,9 @@ def test_elias_fano():
     pick = np.random.default_rng(2)
     for values in ([], [0], [0, 0, 0], [5], [0, 1, 2, 3], np.sort(pick.integers(0, 10**7, 3000)), np.repeat([7, 9_000_000], 700)):
         made = token_output.EliasFano.of(np.array(values, np.int64))
-        assert made.all().tolist() == list(values)
+        assert made.selected(0, len(values)).tolist() == list(values)
+        for first in range(0, len(values), 500):
+            assert made.selected(first, min(len(values), first + 37)).tolist() == list(values[first : first + 37])
         assert all(made.select(i) == values[i] for i in range(0, len(values), 13))
         with pytest.raises(IndexError):
             made.select(len(values))
@@ -55,6 +57,13 @@ def test_elias_fano():
 def test_segment():
     ids = np.arange(10, dtype="<u2")
     one = token_output.Segment(token_output.pack_segment(np.array([3, 4, 9]), np.array([4, 0, 6]), ids))
+    assert one.doc_ids(0, 3).tolist() == [3, 4, 9] and one.doc_ids(1, 2).tolist() == [4]
+    least = token_output.NULL_ID
+    odd = token_output.Segment(token_output.pack_segment(np.array([least, least, -5, 0, 2**63 - 1]), np.array([1, 2, 3, 4, 0]), ids))
+    assert [odd.doc_ids(i, j).tolist() for i, j in ((0, 5), (1, 4), (0, 1), (3, 5))] == [[least, least, -5, 0, 2**63 - 1], [least, -5, 0], [least], [0, 2**63 - 1]]
+    assert odd.document(2).tolist() == [3, 4, 5]
+    none = token_output.Segment(token_output.pack_segment(np.array([least]), np.array([10]), ids))
+    assert none.doc_ids(0, 1).tolist() == [least]
     assert [one.document(i).tolist() for i in range(3)] == [[0, 1, 2, 3], [], [4, 5, 6, 7, 8, 9]]
     with pytest.raises(ValueError):
         token_output.Segment(b"other")
@@ -91,9 +100,74 @@ def test_pieces_equal_library_and_spans_cover():
         assert back.decode() == codec.library.decode(want)
         assert shown.decode() == " ".join(map(str, want))
         assert span[-1] == len(text.encode()) and (np.diff(span) >= 0).all() and span[0] == 0
-        if text and "▁" not in text:
-            general, at = codec._general(text.encode())
-            assert general.tolist() == want[1:-1] and at.tolist() == span[1:-1].tolist()
+        pieces = [codec.library.id_to_piece(i) for i in want[1:-1]]
+        size = lambda p: 1 if p.startswith("<0x") else len(p.replace("▁", " ").encode())
+        if text and "▁" not in text:  # all spaces are one byte, and the first mark has none
+            assert span[1:-1].tolist() == (np.cumsum([size(p) for p in pieces]) - 1).tolist()
+
+
+def slowly_normalised(codec, data):
+    """(bytes, alignment) of one text by the library's rules, character by character."""
+    mark = "▁".encode() if codec.escape else b" "
+    steps, at = [], 0
+    while at < len(data):
+        new, size = codec.map.longest(data, at) or (None, len(data[at:].decode()[0].encode()))
+        steps.append((data[at : at + size], range(at, at + size)) if new is None else (new, [at] * len(new)))
+        at += size
+    flat = [(c, i) for new, places in steps for c, i in zip(new, places, strict=True)]
+    end = len(data)
+    if codec.tidy:
+        flat = [x for n, x in enumerate(flat) if x[0] != 32 or n and flat[n - 1][0] != 32]
+        if flat and flat[-1][0] == 32:
+            end = flat.pop()[1]
+    if codec.dummy and (flat or data and not codec.tidy):
+        flat = [*flat, (32, end)] if codec.suffix else [(32, flat[0][1] if codec.tidy else 0), *flat]
+    out = [(byte, i) for c, i in flat for byte in (mark if c == 32 else [c])]
+    return bytes(c for c, _ in out), [i for _, i in out], end
+
+
+@pytest.mark.parametrize("tidy,suffix,mapped,dummy", [(False, False, False, True), (True, False, True, True), (False, True, True, True), (True, True, True, False), (False, False, True, False)])
+def test_buffers_are_normalised_as_texts_are(tidy, suffix, mapped, dummy):
+    codec = sentence_pieces.Codec(PIECES)
+    codec.tidy, codec.suffix, codec.dummy = tidy, suffix, dummy
+    if mapped:
+        codec.map = some_map()
+    texts = [t or "" for t in ODD if not t or len(t) < 60_000] + odd_strings(800, "abcﬁＡ　­  é▁\n中😀")
+    data, offsets = flat(texts)
+    made, bounds, align, ends = codec.normalised(data, offsets)
+    for i, text in enumerate(texts):
+        want, places, end = slowly_normalised(codec, text.encode())
+        assert made[bounds[i] : bounds[i + 1]].tobytes() == want
+        assert align[bounds[i] : bounds[i + 1]].tolist() == places and ends[i] == end
+
+
+def test_bytes_that_are_no_text():
+    codec = sentence_pieces.Codec(PIECES)
+    data = np.frombuffer("é a".encode() + b"\xff\xc3b" + "中".encode(), np.uint8)
+    made, bounds, align, ends = codec.normalised(data, np.array([0, 4, len(data)]))
+    assert made.tobytes().decode() == "▁é▁a▁��b中" and bounds.tolist() == [0, 9, 22] and ends.tolist() == [4, 6]
+    assert align[9:].tolist() == [0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 3, 3, 3]
+
+
+@pytest.mark.parametrize("module", ["pieces", "words"])
+def test_colliding_hashes_change_no_id(monkeypatch, module):
+    real = _text.span_hashes
+    pick = random.Random(3)
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [x[:n] for n in (1024, 2048, 4096) for x in (thue, other)]
+    texts += [" ".join(pick.choice(["one", "two", "three", "fourteen", "internationally", "x" * 40, "Zoë", "中文", "don't"]) for _ in range(30)) for _ in range(40)]
+    for bits in (64, 3, 0):
+        monkeypatch.setattr(_text, "span_hashes", lambda *a, bits=bits: real(*a) & np.uint64((1 << bits) - 1))
+        for most in (1_500_000, 3):
+            codec = sentence_pieces.Codec(PIECES, add_eos=False, most_chunks=most) if module == "pieces" else token_output.WordEncoder(WORDS, most)
+            want = codec.library.encode(texts) if module == "pieces" else [e.ids for e in codec.library.encode_batch(texts, add_special_tokens=False)]
+            one = codec.encode(*flat(texts))
+            assert [x.tolist() for x in np.split(one[0], np.cumsum(one[-1])[:-1])] == want
+            for text, ids in zip(texts, want, strict=True):  # one batch after the other
+                assert codec.encode(*flat([text]))[0].tolist() == ids
 
 
 def trie(words):
@@ -119,18 +193,22 @@ def trie(words):
     return np.array(units, "<u4").tobytes()
 
 
-def test_character_map_takes_the_longest_prefix():
+def some_map():
     new = [("ﬁ", "fi"), ("Ａ", "A"), ("ab", "X"), ("abc", "Y"), ("　", " "), ("­", "")]
     texts = b"".join(v.encode() + b"\0" for _, v in new)
     at = np.cumsum([0] + [len(v.encode()) + 1 for _, v in new])
     raw = trie([(k.encode(), int(a)) for (k, _), a in zip(new, at, strict=False)])
-    found = sentence_pieces.CharacterMap(len(raw).to_bytes(4, "little") + raw + texts)
+    return sentence_pieces.CharacterMap(len(raw).to_bytes(4, "little") + raw + texts)
+
+
+def test_character_map_takes_the_longest_prefix():
+    found = some_map()
     assert [found.longest(k.encode(), 0) for k in ("ﬁx", "abd", "abcd", "a", "z", "­")] == [(b"fi", 3), (b"X", 2), (b"Y", 3), None, None, (b"", 2)]
     codec = sentence_pieces.Codec(PIECES)
-    codec.map, codec.tidy, codec.flat = found, True, False
-    text, align = codec.normalise("  ﬁ　　abc ".encode())
-    assert text.decode() == "▁fi▁Y"
-    assert align.tolist() == [2, 2, 2, 2, 2, 5, 5, 5, 11, 14]
+    codec.map, codec.tidy, codec.simple = found, True, False
+    text, _, align, ends = codec.normalised(*flat(["  ﬁ　　abc "]))
+    assert text.tobytes().decode() == "▁fi▁Y"
+    assert align.tolist() == [2, 2, 2, 2, 2, 5, 5, 5, 11] and ends.tolist() == [14]
     ids, ends, _ = codec.encode(*flat(["ﬁsh abc"]))
     assert ends[-1] == len("ﬁsh abc".encode()) and ids.tolist()[:-1] == codec.library.encode("fish Y")
 
