@@ -14,8 +14,15 @@ shingle sets have a Jaccard similarity of at least 4/5. A text without words has
    classes of a component is verified on whole shingle sets by products of incidence matrices.
    Counts of links and a spanning forest of true links come out, never the pairs.
 
-Buckets and components of more than BLOCK classes are dealt as pairs of chunks, so that no task
-holds a whole one. Broadcasts are used up to BROADCAST_ROWS class ids, and shuffles beyond.
+Words and shingles are compared by 64-bit hashes (`_text.span_hashes`, two keyed chains or
+blake2b; two given shingles are taken for one with a probability of about 5e-20), classes by two
+sums of differently mixed shingle hashes and their number.
+
+A row is known by its doc_id and the sha256 of its text, a class by a number of its own, so null
+and repeated doc_ids do not mix rows. Buckets and components are dealt as pairs of chunks of
+BLOCK to 16 * BLOCK classes, so that no task holds a large one. Keys that hold a great part of
+the rows are joined by broadcast (`_joins`), a bounded number of them by definition; candidate
+classes are broadcast up to BROADCAST_ROWS and shuffled beyond.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import _text
+from granary.llm._joins import spread_join
 from granary.llm._store import written
 
 WORDS = 5
@@ -38,8 +46,8 @@ SIMILARITY = Fraction(4, 5)
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-9
-BLOCK = 2048
-BROADCAST_ROWS = 1 << 20
+BLOCK = 128
+BROADCAST_ROWS = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -82,7 +90,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values, np.searchsorted(rows, np.arange(len(counts) + 1), "left")
 
 
-_SIGNED = T.StructType([*(T.StructField(n, T.LongType()) for n in ("doc_id", "t1", "t2", "n")), T.StructField("sig", T.BinaryType())])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sha", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("t1", "t2", "n")), T.StructField("sig", T.BinaryType())])
 
 
 def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -90,8 +98,14 @@ def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
 
 
+def _known(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's sha256; a null text counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (t1, t2) and size n of the shingle set, and its MinHash values."""
+    """doc_id, sha, digest (t1, t2) and size n of the shingle set, and its MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in _text.slices(batches, "text"):
@@ -105,9 +119,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 for i in range(HASHES):
                     sig[some, i] = (np.minimum.reduceat(values * _PERMUTE[i], bounds[some]) >> np.uint64(32)).astype(np.uint16)
             wide = np.arange(len(n) + 1, dtype=np.int64) * HASHES
-            yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), pa.array(t1), pa.array(t2), pa.array(n), _binary(sig.ravel(), wide)], names=["doc_id", "t1", "t2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), _text.column(rows, "sha"), pa.array(t1), pa.array(t2), pa.array(n), _binary(sig.ravel(), wide)], names=_SIGNED.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIGNED)
+    return _known(docs).mapInArrow(run, _SIGNED)
 
 
 # --- runs of rows of one group --------------------------------------------------------------
@@ -155,14 +169,21 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _chunks(size: str) -> F.Column:
+    """The number of chunks of a group: of BLOCK members, sixteen at most while these have no
+    more than 16 * BLOCK members, and more beyond."""
+    n = F.col(size)
+    return F.greatest(F.least(F.ceil(n / BLOCK), F.lit(16)), F.ceil(n / (16 * BLOCK))).cast("int")
+
+
 def _blocks(df: DataFrame, group: str, size: str, member: str) -> DataFrame:
-    """Deals the rows of a group of `size` members into pairs of chunks: adds blk (the pair) and
-    side (0 or 1, the row's chunk in it; -1 where the pair is one chunk with itself)."""
-    chunks = F.ceil(F.col(size) / BLOCK).cast("int")
+    """Deals the rows of a group of `size` members into pairs of chunks: adds blk (the pair),
+    side (0 or 1, the row's chunk in it; -1 where the pair is one chunk with itself) and whole,
+    true where the group is one chunk."""
     own = F.pmod(F.xxhash64(member), F.col("__q")).cast("int")
-    dealt = df.withColumn("__q", chunks).withColumn("__own", own).withColumn("__other", F.explode(F.when(F.col("__q") > 1, F.sequence(F.lit(0), F.col("__q") - 1)).otherwise(F.array(F.lit(0)))))
+    dealt = df.withColumn("__q", _chunks(size)).withColumn("__own", own).withColumn("__other", F.explode(F.when(F.col("__q") > 1, F.sequence(F.lit(0), F.col("__q") - 1)).otherwise(F.array(F.lit(0)))))
     low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
-    return dealt.withColumn("blk", low.cast("long") * F.lit(1 << 31) + high).withColumn("side", F.when(low == high, -1).when(F.col("__own") == low, 0).otherwise(1).cast("int")).drop("__q", "__own", "__other")
+    return dealt.withColumns({"blk": low.cast("long") * F.lit(1 << 31) + high, "side": F.when(low == high, -1).when(F.col("__own") == low, 0).otherwise(1).cast("int"), "whole": F.col("__q") == 1}).drop("__q", "__own", "__other")
 
 
 def _pairs(side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -223,7 +244,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     spread_rows = reps.select("rep", "sig").mapInArrow(bands, spread)
     rows = written(spread_rows, "bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    shared = rows.join(sizes, "bucket").join(reps.select("rep", "sig"), "rep")
+    shared = spread_join(rows, sizes, ["bucket"], "size", rows.count()).join(reps.select("rep", "sig"), "rep")
     dealt = _blocks(shared, "bucket", "size", "rep").select("bucket", "blk", "band", "side", "rep", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +265,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
                     a, b = ((firsts[k : k + step, None] + x).ravel() for x in (i, j))
                     found.append(prune(a, b, band[a]))
             for first, size in zip(bounds[:-1].tolist(), sizes.tolist(), strict=True):
-                if size > 64 or size > 1 and side[first] >= 0:
+                if size > 64 or (size > 1 and side[first] >= 0):
                     own = prune.bands[first : first + size, : band[first]]
                     if any((own[:, i] == own[0, i]).all() for i in range(own.shape[1])):
                         continue  # all pairs are looked at in an earlier band
@@ -278,11 +299,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("held"))
+        large = spread_join(both.where(F.col("b") > F.col("a")), least, ["a"], "held", 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("held"))
+        small = spread_join(large, least, ["a"], "held", before[0]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         e = written(small, "small-star")
         after = state(e)
         if after == before:
@@ -327,31 +348,36 @@ _VERIFIED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("lin
 
 
 def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """For `candidates` (rep, comp, size, copies): in each block the documents linked to rep, and
-    the least rep it is joined to there; whole where the block is the component."""
-    ids = candidates.select(F.col("rep").alias("doc_id"))
-    near = F.broadcast(ids) if candidates.count() <= BROADCAST_ROWS else ids
+    """For `candidates` (rep, doc_id, sha, comp, size, copies): in each block the documents linked
+    to rep, and the least rep it is joined to there; whole where the block is the component."""
+    few = candidates.count() <= BROADCAST_ROWS
+    near = lambda rows: F.broadcast(rows) if few else rows
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in _text.slices(batches, "text"):
-            values, bounds = shingles(data, at)
-            yield pa.RecordBatch.from_arrays([_text.column(rows, "doc_id"), _binary(values, bounds)], names=["rep", "shingles"])
+        seen: set[int] = set()  # rows that repeat a text and doc_id are taken once from a task
+        for batch in batches:
+            fresh = [not (r in seen or seen.add(r)) for r in _text.column(batch, "rep").to_pylist()]
+            for rows, data, at in _text.slices(iter([batch.filter(pa.array(fresh, pa.bool_()))]), "text"):
+                values, bounds = shingles(data, at)
+                yield pa.RecordBatch.from_arrays([_text.column(rows, "rep"), _binary(values, bounds)], names=["rep", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near, "doc_id", "left_semi").mapInArrow(sets, schema)
-    joined = texts.join(F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates, "rep")
-    dealt = _blocks(joined, "comp", "size", "rep").select("comp", "blk", "side", "rep", "copies", "size", "shingles")
+    own = _known(docs)
+    wanted = candidates.select("rep", F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
+    texts = own.join(near(wanted), own["doc_id"].eqNullSafe(wanted["__id"]) & (own["sha"] == wanted["__sha"])).select("rep", "text").mapInArrow(sets, schema)
+    joined = texts.join(near(candidates.select("rep", "comp", "size", "copies")), "rep")
+    dealt = _blocks(joined, "comp", "size", "rep").select("comp", "blk", "side", "whole", "rep", "copies", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _groups(batches, ["comp", "blk"]):
-            rep, copies, side, size = (table.column(c).to_numpy() for c in ("rep", "copies", "side", "size"))
+            rep, copies, side, whole = (table.column(c).to_numpy() for c in ("rep", "copies", "side", "whole"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
             links, root = np.zeros(len(rep), np.int64), rep.copy()
             alone = np.zeros(len(rep), bool)
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 at = np.arange(first, last)
                 _, once = np.unique(rep[at], return_index=True)
-                at = at[np.sort(once)]  # repeated rows of one document count once
+                at = at[np.sort(once)]  # tasks may have read the same text
                 alone[at] = True
                 if side[first] < 0:
                     a, b = _similar(sets, at, at, SIMILARITY)
@@ -363,51 +389,85 @@ def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 rank = np.zeros(len(rep), np.int64)
                 rank[order] = np.arange(len(order))
                 root[order] = rep[order[_roots(len(order), rank[a], rank[b])]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[alone]) for x in (rep, links, root, size <= BLOCK)], names=["rep", "links", "root", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[alone]) for x in (rep, links, root, whole)], names=["rep", "links", "root", "whole"])
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(n, "comp", "blk").sortWithinPartitions("comp", "blk", "rep").mapInArrow(run, _VERIFIED)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For every row of `docs`: doc_id, class_id (the least doc_id of its component of linked
-    documents), copy_of (the least doc_id with the same shingles) and n_links (the other rows
-    whose similarity is at least 4/5, copies included).
+def _first() -> F.Column:
+    """A row's place among others: by doc_id, nulls last, then by text digest."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("sha"))
 
-    Rows without words are in a class of their own, without links. A null doc_id is taken as
-    the least long. Rows that repeat a doc_id with one text count as copies.
-    """
-    least = F.lit(-(2**63)).cast("long")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), "text")
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id and sha of every row of `docs` that has words, with `copies` (rows of equal
+    shingles), `links` (rows of other, similar shingles), `same` and `first`: the first row, as
+    by `_first`, of equal shingles and of its whole class. Rows without words: nulls."""
     signed = written(_signatures(docs), "signatures")
     key = ["t1", "t2", "n"]
-    classes = written(signed.where(F.col("n") > 0).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
-    members = written(signed.select("doc_id", *key).join(classes, key, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(0)).alias("copies")), "members")
-    own = members.where((F.col("doc_id") == F.col("rep")) & (F.col("copies") > 0)).select("rep", "copies").distinct()
-    reps = written(signed.select(F.col("doc_id").alias("rep"), "sig").join(own, "rep").dropDuplicates(["rep"]), "classes")
-    found = written(components(written(_candidates(reps), "candidates")), "components")
+    classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min(_first()).alias("same"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    found = written(components(written(_candidates(classes.select("rep", "sig")), "candidates")), "components")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = found.join(sizes, "root").join(own, found["node"] == own["rep"]).select("rep", F.col("root").alias("comp"), "size", "copies")
+    sized = spread_join(found, sizes, ["root"], "size", found.count())
+    wanted = sized.join(classes.select(F.col("rep").alias("node"), "copies", "same"), "node").select(F.col("node").alias("rep"), "same.doc_id", "same.sha", F.col("root").alias("comp"), "size", "copies")
     checked = written(_verified(docs, written(wanted, "wanted")), "verified")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = checked.where("whole").select("rep", "root")
     parts = checked.where(~F.col("whole") & (F.col("rep") != F.col("root"))).select(F.col("rep").alias("a"), F.col("root").alias("b"))
     if not parts.isEmpty():
         roots = roots.unionByName(components(parts).select(F.col("node").alias("rep"), "root"))
-    linked = written(links.join(roots, "rep", "left"), "links")
-    out = members.join(linked, "rep", "left")
-    return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.greatest(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+    linked = written(links.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "links")
+    members = linked.select("rep", "root").join(classes.select("rep", "same"), "rep")
+    firsts = members.groupBy("root").agg(F.min("same").alias("first"), F.count("*").alias("size"))
+    firsts = spread_join(linked, firsts, ["root"], "size", linked.count()).select("rep", "links", "first")
+    known = written(classes.drop("sig").join(firsts, "rep", "left").select(*key, "copies", "same", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "same").alias("first")), "class-table")
+    rows = signed.select("doc_id", "sha", *key)
+    worded = spread_join(rows.where(F.col("n") > 0), known, key, "copies", rows.count())
+    plain = rows.where(F.col("n") == 0).select("doc_id", "sha", *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("copies", "same", "links", "first")))
+    return worded.select(*plain.columns).unionByName(plain)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """For every row of `docs`: doc_id, class_id (the least doc_id of its component of linked
+    documents), copy_of (the least doc_id with the same shingles), n_links (the other rows whose
+    similarity is at least 4/5, copies included) and class_key (the least sha256, in hex, of the
+    texts of the component's first copies; null without words).
+
+    - Rows without words (null, empty, white space) are in a class of their own: class_id and
+      copy_of are their doc_id, and they have no links.
+    - Null doc_ids come last: class_id and copy_of are null only where no row of the class has a
+      doc_id. Rows that repeat a doc_id are rows like others; with one text they are copies, with
+      different texts they are in the classes of these. Then two classes can have one class_id,
+      and class_key tells them apart.
+    - Very long texts are handled as others, whole. An empty table gives an empty result. Other
+      columns are ignored.
+    """
+    rows = _classified(docs)
+    links = F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long")
+    pick = lambda which: F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col(f"{which}.doc_id"))
+    return rows.select("doc_id", pick("first").alias("class_id"), pick("same").alias("copy_of"), links.alias("n_links"), F.lower(F.hex("first.sha")).alias("class_key"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stand for their class: that of the least doc_id, once (of rows
-    that repeat this doc_id any one). The ids to drop, fewer than those to keep, are broadcast up
-    to BROADCAST_ROWS and shuffled beyond."""
-    classes = written(near_duplicates(docs).select("doc_id", "class_id"), "near-classes")
-    drop = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    often = classes.where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where(F.col("n") > 1).select("__id")
+    """The rows of `docs` that stand for their class: the first one by doc_id, nulls last, then by
+    the sha256 of its text; of rows that repeat this doc_id and text one, by a hash of all its
+    columns. Rows without words all stay. The result does not depend on the order of rows. The
+    rows to drop, fewer than those to keep, are broadcast up to BROADCAST_ROWS and shuffled
+    beyond."""
+    rows = written(_classified(docs).select("doc_id", "sha", "first"), "near-classes").where(F.col("first").isNotNull())
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    named = lambda found: found.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
+    drop = named(rows.where(~stays))
+    again = named(rows.where(stays).groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))).join(few(drop), "__id", "left_anti")
-    if not often.isEmpty():
-        rows = rows.join(few(often), "__id", "left_anti").unionByName(rows.join(few(often), "__id", "left_semi").dropDuplicates(["__id"]))
-    return rows.drop("__id")
+    known = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_sha": F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))})
+    on = lambda: F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
+    kept = known.join(few(drop), on(), "left_anti")
+    if not again.isEmpty():
+        whole = F.struct(*docs.columns)
+        order = F.xxhash64(*(c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)))
+        once = kept.join(few(again), on(), "left_semi").groupBy("__row_id", "__row_sha").agg(F.min_by(whole, order).alias("__whole")).select("__whole.*")
+        return kept.join(few(again), on(), "left_anti").select(*docs.columns).unionByName(once)
+    return kept.select(*docs.columns)

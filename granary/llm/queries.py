@@ -48,7 +48,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import ngram_jaccard
 
-    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
