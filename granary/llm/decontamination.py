@@ -9,8 +9,15 @@ it, and those that are an item's window are hit. That takes time in proportion t
 however often a passage is repeated in it or in the item. Items of n < SPAN words are winnowed
 with K = n, which keeps every n-word hash.
 
-The items are a query set. They are taken in blocks of at most BLOCK_BYTES of text, each block's
-index is broadcast, and documents pass all blocks; texts are never shuffled.
+Hashes only point at windows: every hit is compared word by word, byte by byte.
+
+While the items' text takes at most BROADCAST_BYTES, an index of their fingerprints and windows is
+broadcast and documents pass it once, without a shuffle. Beyond that, the fingerprints of all
+documents are joined with those of the items, the matches of a text are extended to windows, and
+these are joined with the items' windows; only texts with a match are read again. Documents are
+read a bounded number of times, however large the benchmark is. A fingerprint or window that many
+documents share is broadcast, so it is not gathered in a task (`_joins`), and equal texts are
+extended once.
 """
 
 from __future__ import annotations
@@ -21,15 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import _text
+from granary.llm._joins import spread_join
 from granary.llm._store import written
 
 SPAN, K = 13, 7
-BLOCK_BYTES = 16 << 20
+BROADCAST_BYTES = 16 << 20
+#: Results of texts with a match are broadcast up to so many, and shuffled beyond.
+BROADCAST_ROWS = 1 << 17
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -37,11 +47,25 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all rows of a flat buffer, and the bounds of each row's words."""
-    data = _FOLD[data]
-    starts, ends = _text.spans_of(_WORD[data], offsets)
-    return _text.span_hashes(data, starts, ends), _text.rows_of(starts, offsets)
+class Words:
+    """The words of all rows of a flat buffer: hashes, and the bounds of each row's words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> None:
+        self.data = _FOLD[data]
+        self.starts, self.ends = _text.spans_of(_WORD[self.data], offsets)
+        self.hashes = _text.span_hashes(self.data, self.starts, self.ends, seed)
+        self.bounds = _text.rows_of(self.starts, offsets)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with one NUL, which is in no word, behind each; and where each begins."""
+        sizes = self.ends - self.starts
+        at = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.zeros(int(at[-1]), np.uint8)
+        out[_text.ragged(at[:-1], sizes)] = self.data[_text.ragged(self.starts, sizes)]
+        return out, at
+
+    def grams(self, n: int) -> np.ndarray:
+        return _text.gram_hashes(self.hashes, n)
 
 
 def _apart(bounds: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -75,56 +99,61 @@ def fingerprints(words: np.ndarray, bounds: np.ndarray, k: int = K, span: int =
 
 
 class Index:
-    """Fingerprints and windows of a block of items, by the number of words of a window."""
+    """Fingerprints and windows of items, by the number of words of a window. Windows that differ
+    and have one hash are told apart by hashing anew with another seed."""
 
     def __init__(self, ids: list, texts: list[str]) -> None:
-        self.ids = ids
-        data, at = _text.utf8(pa.array(texts, pa.string()))
-        words, bounds = words_of(data, at)
+        self.ids, self.seed = ids, 0
+        while not self._build(texts):
+            self.seed += 1
+
+    def _build(self, texts: list[str]) -> bool:
+        own = Words(*_text.utf8(pa.array(texts, pa.string())), self.seed)
         prints: dict[int, list[np.ndarray]] = defaultdict(list)
-        windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        for item, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        windows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for item, (a, b) in enumerate(zip(own.bounds[:-1].tolist(), own.bounds[1:].tolist(), strict=True)):
             n = min(SPAN, b - a)
             if n:
-                own = np.unique(_text.gram_hashes(words[a:b], n))
-                windows[n].append((own, np.full(len(own), item)))
-                prints[n].append(fingerprints(words[a:b], np.array([0, b - a]))[0] if n == SPAN else own)
+                grams = _text.gram_hashes(own.hashes[a:b], n)
+                windows[n].append((grams, np.full(len(grams), item), a + np.arange(len(grams))))
+                prints[n].append(fingerprints(own.hashes[a:b], np.array([0, b - a]))[0] if n == SPAN else grams)
+        self.flat, self.at = own.joined()
         self.tables = {}
         for n, parts in windows.items():
-            hashes, items = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            distinct, first = np.unique(hashes[order], return_index=True)
+            hashes, items, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((items, hashes))
+            hashes, items, places = hashes[order], items[order], places[order]
+            distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            shown = places[first]
+            if not _text.same_bytes(self.flat, self.at[places], self.at[places + n], self.flat, self.at[shown[inverse]], self.at[shown[inverse] + n]).all():
+                return False
+            once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])])
+            items, inverse = items[once], inverse[once]
             keys = np.unique(np.concatenate(prints[n]))
             coarse = np.zeros(1 << 16, bool)
             coarse[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.tables[n] = (keys, coarse, distinct, np.append(first, len(order)), items[order])
+            self.tables[n] = (keys, coarse, distinct, shown, np.searchsorted(inverse, np.arange(len(distinct) + 1)), items)
+        return True
 
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Which words are inside an occurrence of a window, and the distinct pairs of a row and
         an item that occurs in it."""
-        edges = np.zeros(len(words) + 1, np.int64)
-        pairs = [np.zeros(0, np.int64)]
-        for n, (keys, coarse, distinct, first, items) in self.tables.items():
-            if n == SPAN:
-                hashes, places = fingerprints(words, bounds)
-            else:
-                hashes = _text.gram_hashes(words, n)
-                places = np.flatnonzero(_apart(bounds, len(words), n))
-                hashes = hashes[places]
-            likely = coarse[(hashes >> np.uint64(48)).astype(np.int64)]
-            places = places[likely][_found(keys, hashes[likely]) >= 0]
-            if not len(places):
+        bounds, count = words.bounds, len(words.hashes)
+        edges = np.zeros(count + 1, np.int64)
+        pairs, flat = [np.zeros(0, np.int64)], None
+        for n, (keys, coarse, distinct, shown, first, items) in self.tables.items():
+            starts = window_starts(words, n, lambda h, coarse=coarse, keys=keys: coarse[(h >> np.uint64(48)).astype(np.int64)] & (_found(keys, h) >= 0))
+            if not len(starts):
                 continue
-            starts = np.unique(places[:, None] - np.arange(SPAN - K + 1 if n == SPAN else 1))
-            starts = starts[(starts >= 0) & (starts + n <= len(words))]
-            row = np.searchsorted(bounds, starts, "right") - 1
-            inside = starts + n <= bounds[row + 1]
-            starts, row = starts[inside], row[inside]
-            grams = np.concatenate([_text.gram_hashes(words[s : s + n], n) for s in starts.tolist()]) if len(starts) < 64 else _text.gram_hashes(words, n)[starts]
+            grams = words.grams(n)[starts]
             at = _found(distinct, grams)
-            starts, row, at = starts[at >= 0], row[at >= 0], at[at >= 0]
-            edges[starts] += 1
-            edges[starts + n] -= 1
+            starts, at = starts[at >= 0], at[at >= 0]
+            flat, place = words.joined() if flat is None else (flat, place)
+            same = _text.same_bytes(flat, place[starts], place[starts + n], self.flat, self.at[shown[at]], self.at[shown[at] + n])
+            starts, at = starts[same], at[same]
+            np.add.at(edges, starts, 1)
+            np.add.at(edges, starts + n, -1)
+            row = np.searchsorted(bounds, starts, "right") - 1
             seen = np.unique(row * len(distinct) + at)
             row, at = np.divmod(seen, len(distinct))
             sizes = first[at + 1] - first[at]
@@ -133,77 +162,174 @@ class Index:
         return np.cumsum(edges[:-1]) > 0, np.stack([row, item], axis=1)
 
 
+def prints_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of all rows for windows of n words, and their places."""
+    if n == SPAN:
+        return fingerprints(words.hashes, words.bounds)
+    places = np.flatnonzero(_apart(words.bounds, len(words.hashes), n))
+    return words.grams(n)[places], places
+
+
+def window_starts(words: Words, n: int, known) -> np.ndarray:  # noqa: ANN001
+    """Where the windows of n words begin that hold a fingerprint which is `known`."""
+    hashes, places = prints_of(words, n)
+    places = places[known(hashes)] if len(hashes) else places
+    starts = np.unique(places[:, None] - np.arange(SPAN - K + 1 if n == SPAN else 1))
+    starts = starts[(starts >= 0) & (starts + n <= len(words.hashes))]
+    row = np.searchsorted(words.bounds, starts, "right") - 1
+    return starts[starts + n <= words.bounds[row + 1]]
+
+
 def _found(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The place of each hash in sorted keys, -1 if it is not there."""
     at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
     return np.where(keys[at] == hashes, at, -1)
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
-    """The items with words, in blocks of bounded size."""
-    ids, texts, size = [], [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull()).toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += len(r["text"].encode())
-        if size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
-
-
-_FOUND = T.StructType([T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 _VERDICT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` with n_words, n_hit (words inside an occurrence of a window), n_items, the digest of
     the items' ids (as strings, sorted, comma-joined) and contaminated: n_hit > 0 and
-    20 * n_hit >= n_words. Null texts have no words. Items of a null id hit words but are not
-    listed or counted. Columns of these names are replaced."""
-    names = [n for n, _ in _VERDICT]
-    docs = docs.drop(*names, "__found")
-    spark = docs.sparkSession
+    20 * n_hit >= n_words.
+
+    Null and empty texts have no words; items without words have no windows. Items of a null id
+    hit words but are not listed or counted; items that repeat an id count once. Rows of `docs`
+    stay as they are, repeated ones and those with a null doc_id too, and are judged by their
+    texts alone, which are read whole. Columns named as the verdict's are replaced. An empty table
+    of items hits nothing; an empty table of documents gives an empty result.
+    """
+    docs = docs.drop(*(n for n, _ in _VERDICT))
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.octet_length("text") > 0)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
+        return _by_index(docs, items)
+    return _by_join(docs, items)
+
+
+def _by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One pass over the documents with a broadcast index; the items are known to be few."""
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in _VERDICT)])
-    passed = T.StructType([*docs.schema.fields, T.StructField("__found", _FOUND)])
-    blocks = _blocks(items)
-    block, after = next(blocks), next(blocks, None)
-    while True:
-        sent = spark.sparkContext.broadcast(block)
-        last = after is None
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value)
-            for rows, data, at in _text.slices(batches, "text"):
-                words, bounds = words_of(data, at)
-                found = _text.column(rows, "__found").to_pylist() if "__found" in rows.schema.names else [None] * rows.num_rows
-                spans = [x["spans"] if x else [] for x in found]
-                own = [{*x["items"]} if x else set() for x in found]
-                covered, pairs = index.hits(words, bounds)
-                for r, item in pairs.tolist():
-                    if index.ids[item] is not None:
-                        own[r].add(index.ids[item])
-                for r, before in enumerate(spans):
-                    for a, b in zip(before[::2], before[1::2], strict=True):
-                        covered[bounds[r] + a : bounds[r] + b] = True
-                rows = rows.drop_columns(["__found"]) if "__found" in rows.schema.names else rows
-                if not last:
-                    starts, ends = _text.spans_of(covered, bounds)
-                    of_row = np.searchsorted(bounds, starts, "right") - 1
-                    spans = [[] for _ in spans]
-                    for r, a, b in zip(of_row.tolist(), (starts - bounds[of_row]).tolist(), (ends - bounds[of_row]).tolist(), strict=True):
-                        spans[r] += [a, b]
-                    more = pa.StructArray.from_arrays([pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in own], pa.list_(pa.string()))], names=["spans", "items"])
-                    yield pa.RecordBatch.from_arrays([*rows.columns, more], names=[*rows.schema.names, "__found"])
-                    continue
-                n = np.diff(bounds).tolist()
-                hit = np.diff(np.concatenate([[0], np.cumsum(covered)])[bounds]).tolist()
-                digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
-                dirty = [h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)]
-                columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(digests, pa.string()), pa.array(dirty, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *names])
-
-        if last:
-            return docs.mapInArrow(run, schema)
-        docs = written(docs.mapInArrow(run, passed), "contamination")
-        block, after = after, next(blocks, None)
+    rows = items.collect()
+    sent = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*sent.value)
+        for rows, data, at in _text.slices(batches, "text"):
+            words = Words(data, at, index.seed)
+            own: list[set[str]] = [set() for _ in range(rows.num_rows)]
+            covered, pairs = index.hits(words)
+            for r, item in pairs.tolist():
+                if index.ids[item] is not None:
+                    own[r].add(index.ids[item])
+            n = np.diff(words.bounds).tolist()
+            hit = np.diff(np.concatenate([[0], np.cumsum(covered)])[words.bounds]).tolist()
+            digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
+            dirty = [h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)]
+            columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(digests, pa.string()), pa.array(dirty, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+# --- by joins: for benchmarks of any size
+
+_PRINT = T.StructType([T.StructField("sha", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType())])
+_WINDOW = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("gram", T.BinaryType())])
+
+
+def _prints(texts: DataFrame, sizes: list[int] | None) -> DataFrame:
+    """The distinct (sha, n, print) of each text (sha, text): of documents for all window sizes
+    in `sizes`; of items (None) for their own size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in _text.slices(batches, "text"):
+            words, shas = Words(data, at), _text.column(rows, "sha")
+            count = np.diff(words.bounds)
+            for n in sizes or np.unique(np.minimum(count[count > 0], SPAN)).tolist():
+                prints, places = prints_of(words, n)
+                row = np.searchsorted(words.bounds, places, "right") - 1
+                if sizes is None:
+                    fits = np.minimum(count[row], SPAN) == n
+                    prints, row = prints[fits], row[fits]
+                order = np.lexsort((prints, row))
+                prints, row = prints[order], row[order]
+                once = np.ones(len(row), bool)
+                once[1:] = (prints[1:] != prints[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([shas.take(pa.array(row[once])), pa.array(np.full(int(once.sum()), n, np.int32)), pa.array(prints[once].view(np.int64))], names=_PRINT.names)
+
+    return texts.mapInArrow(run, _PRINT)
+
+
+def _windows(words: Words, n: int, starts: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """(id, n, first word in the row, the words with a NUL behind each) of windows."""
+    flat, at = words.joined()
+    row = np.searchsorted(words.bounds, starts, "right") - 1
+    lengths = at[starts + n] - at[starts]
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    grams = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat[_text.ragged(at[starts], lengths)].tobytes())])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)).cast(pa.string()), pa.array(np.full(len(starts), n, np.int32)), pa.array(starts - words.bounds[row]), grams.cast(pa.binary())], names=_WINDOW.names)
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in _text.slices(batches, "text"):
+            words, ids = Words(data, at), _text.column(rows, "item_id")
+            count = np.diff(words.bounds)
+            for n in np.unique(np.minimum(count[count > 0], SPAN)).tolist():
+                starts = np.flatnonzero(_apart(words.bounds, len(words.hashes), n))
+                row = np.searchsorted(words.bounds, starts, "right") - 1
+                starts = starts[np.minimum(count[row], SPAN) == n]
+                for first in range(0, len(starts), 1 << 16):
+                    yield _windows(words, n, starts[first : first + (1 << 16)], ids)
+
+    return items.mapInArrow(run, _WINDOW)
+
+
+def _text_windows(texts: DataFrame) -> DataFrame:
+    """The windows of texts (sha, text, hits: structs of n and print) that hold a hit."""
+    keyed = texts.select(F.hex("sha").alias("id"), "text", F.transform("hits", lambda x: x["n"]).alias("sizes"), F.transform("hits", lambda x: x["print"]).alias("prints"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.slice(i, 1)
+                words = Words(*_text.utf8(_text.column(rows, "text")))
+                sizes, prints = (np.array(_text.column(rows, c)[0].as_py(), np.int64) for c in ("sizes", "prints"))
+                for n in np.unique(sizes).tolist():
+                    keys = np.unique(prints[sizes == n].view(np.uint64))
+                    starts = window_starts(words, n, lambda h, keys=keys: _found(keys, h) >= 0)
+                    for first in range(0, len(starts), 1 << 16):
+                        yield _windows(words, n, starts[first : first + (1 << 16)], _text.column(rows, "id"))
+
+    return keyed.mapInArrow(run, _WINDOW)
+
+
+def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    wanted = written(_prints(items.select(F.lit(b"").alias("sha"), "text"), None).select("n", "print").distinct(), "item-prints")
+    sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())
+    named = docs.select(sha.alias("sha"), "text").where(F.octet_length("text") > 0)
+    prints = written(_prints(named, sizes), "prints") if sizes else docs.sparkSession.createDataFrame([], _PRINT)
+    held = written(prints.groupBy("n", "print").agg(F.count("*").alias("held")).join(wanted, ["n", "print"]), "shared-prints")
+    matched = spread_join(prints, held, ["n", "print"], "held", prints.count()).select("sha", "n", "print").distinct()
+    hits = written(matched.groupBy("sha").agg(F.collect_list(F.struct("n", "print")).alias("hits")), "matched-texts")
+    few = hits.count() <= BROADCAST_ROWS
+    pool = named.join(F.broadcast(hits.select("sha")), "sha", "left_semi") if few else named
+    texts = pool.groupBy("sha").agg(F.first("text").alias("text")).join(hits, "sha")  # tasks take equal texts together before they are dealt
+    windows = written(_text_windows(texts), "text-windows")
+    of_items = _item_windows(items).groupBy("n", "gram").agg(F.collect_set("id").alias("items"))
+    found = windows.groupBy("n", "gram").agg(F.count("*").alias("held")).join(of_items, ["n", "gram"])
+    found = written(found, "found-windows")
+    occurs = written(spread_join(windows, found, ["n", "gram"], "held", windows.count()).select("id", "start", (F.col("start") + F.col("n")).alias("end"), "items"), "occurrences")
+    before = F.max("end").over(Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = occurs.select("id", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("fresh")).groupBy("id").agg(F.sum("fresh").alias("__hit"))
+    listed = occurs.select("id", F.explode_outer("items").alias("item")).groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("__items"))
+    verdicts = written(fresh.join(listed, "id").withColumn("__sha", F.unhex("id")).drop("id"), "verdicts")
+    judged = docs.withColumn("__own", sha)
+    few = verdicts.count() <= BROADCAST_ROWS
+    out = judged.join(F.broadcast(verdicts) if few else verdicts, judged["__own"] == verdicts["__sha"], "left")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    n_hit, own = F.coalesce("__hit", F.lit(0)).cast("long"), F.coalesce("__items", F.array().cast("array<string>"))
+    verdict = [n_words, n_hit, F.size(own).cast("long"), F.sha2(F.array_join(own, ","), 256), (n_hit > 0) & (20 * n_hit >= n_words)]
+    return out.select(*docs.columns, *(c.alias(n) for c, (n, _) in zip(verdict, _VERDICT, strict=True)))

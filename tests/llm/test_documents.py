@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +75,10 @@ def contaminated(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 24, 100])
-def test_contamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("most,rows", [(1 << 24, 9), (100, 1 << 17), (0, 1)])
+def test_contamination(spark, monkeypatch, most, rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
     pick = random.Random(5)
     word = lambda: pick.choice("a b c d e éa x1".split())
     items = [" ".join(word() for _ in range(n)) for n in (30, 13, 12, 5, 1, 0, 20, 14)] + ["a " * 40, "zz zz"]
@@ -86,11 +88,56 @@ def test_contamination(spark, monkeypatch, block):
     assert [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got] == contaminated(texts, items)
 
 
-def test_contamination_of_odd_and_empty_tables(spark):
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_contamination_of_odd_and_empty_tables(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontamination.contamination(odd_documents(spark), none).where("n_hit = 0 and not contaminated").count() == N_ODD
+    clean = decontamination.contamination(odd_documents(spark), none)
+    assert clean.where("n_hit = 0 and not contaminated").count() == N_ODD
+    long = clean.where("doc_id = 8").first()
+    assert long["n_words"] == 100_000 and long["kept"] is False and long["n_lines"] == "mine"
     same = odd_documents(spark).select(F.col("doc_id").alias("item_id"), "text")
-    assert decontamination.contamination(odd_documents(spark), same).where("contaminated").count() >= 6
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(odd_documents(spark), same).where("doc_id is not null").collect()}
+    # "a" is an item twice, once without an id, and is found in "A a\nA a"
+    assert {i: got[i] for i in (0, 1, 3, 4, 5, 7, 8, 9)} == {0: (0, 0, 0), 1: (0, 0, 0), 3: (0, 0, 0), 4: (1, 1, 1), 5: (4, 4, 2), 7: (0, 0, 0), 8: (100_000, 100_000, 1), 9: (1, 1, 1)}
+    assert decontamination.contamination(odd_documents(spark).limit(0), same).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_a_passage_that_many_documents_share(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    shared = " ".join(f"s{i}" for i in range(20))
+    texts = [f"{shared} {i} {i} {i}" for i in range(400)] + [shared] * 200
+    items = [shared, "other " + shared, "x y z"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.contamination(documents(spark, texts), table).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got] == contaminated(texts, items)
+
+
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_words_with_one_hash_are_no_hit(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    table = spark.createDataFrame([(1, f"one two {other[:1024]}"), (2, other)], "item_id long, text string")
+    got = decontamination.contamination(documents(spark, [f"one two {thue[:1024]}", thue, other]), table).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["contaminated"]) for r in got] == [(0, False), (0, False), (1, True)]
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    from granary.llm import _text
+
+    real = _text.span_hashes
+    # with seed 0 all words of a length have one hash
+    monkeypatch.setattr(_text, "span_hashes", lambda d, s, e, seed=0: real(d, s, e, seed) if seed else (e - s).astype(np.uint64))
+    items = ["red dog sat", "blue cat lay", "red cat sat"]
+    index = decontamination.Index([1, 2, 3], items)
+    assert index.seed == 1
+    texts = ["a red cat sat", "red dog lay", "blue cat lay"]
+    covered, pairs = index.hits(decontamination.Words(*_text.utf8(pa.array(texts)), index.seed))
+    assert covered.tolist() == [False, True, True, True, False, False, False, True, True, True] and pairs.tolist() == [[0, 2], [2, 1]]
 
 
 def test_winnowing_guarantee():
