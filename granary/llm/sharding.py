@@ -142,14 +142,17 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Size is the text's UTF-8 bytes plus 8; a null text counts as empty and is grouped with empty
     ones. Slots number each shard's documents from 0 without gaps, by blocks of doc_id hashes and
-    doc_id. An empty table gives an empty result.
+    doc_id; a null doc_id comes first in its block. Repeated rows have slots of their own and,
+    with one text, one shard. A very long text is one heavy item, never split. Groups are texts
+    with the same size and the same two hashes, differently seeded (128 bits). Other columns are
+    ignored. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
     sized = written(sized, "sizes")
     key = ["k1", "k2", "size"]
     counted = sized.groupBy(*key).agg(F.count("*").alias("n"))
-    groups = counted.select(*key, "n", F.xxhash64(*key).alias("group"), (F.col("n") * F.col("size")).alias("bytes"))
+    groups = counted.select(*key, "n", F.monotonically_increasing_id().alias("group"), (F.col("n") * F.col("size")).alias("bytes"))
     placed = written(assign_groups(written(groups, "groups"), shards).select(*key, "n", "shard"), "placed")
     rows = placed.agg(F.sum("n")).first()[0] or 0
     blocks = max(8, -(-rows // (shards * SLOT_ROWS)))
