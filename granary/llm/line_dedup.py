@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import _text
+from granary.llm._joins import spread_join
 from granary.llm._store import written
 
 FILTER_BYTES = 64 << 20
@@ -231,7 +232,10 @@ class LineIndex:
     def apply(self, docs: DataFrame) -> DataFrame:
         """`docs` (whose lines were counted) without common lines; adds n_lines and n_dropped.
 
-        A null text stays null and has one line. Columns named n_lines or n_dropped are replaced.
+        A null text stays null and has one line, an empty one stays empty. Rows stay as they are,
+        repeated ones and those with a null doc_id too; each counts as a document. A line that a
+        document repeats counts once in it and goes everywhere in it. Texts are read whole. Columns
+        named n_lines or n_dropped are replaced; an empty table gives an empty result.
         """
         docs = docs.drop("n_lines", "n_dropped")
         sent = self._decider()
@@ -252,23 +256,24 @@ class LineIndex:
         return docs.mapInArrow(run, schema)
 
     def _joined(self, docs: DataFrame) -> DataFrame:
-        """The same by joins: common keys of every distinct text, looked up by the text's hash."""
-        schema = T.StructType([T.StructField(n, T.LongType()) for n in ("t1", "t2", "h1", "h2")])
+        """The same by joins: common keys of every distinct text, looked up by the text's sha256.
+        The commonest lines are broadcast, so no task gathers a line that most texts hold."""
+        schema = T.StructType([T.StructField("sha", T.BinaryType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, data, at in _text.slices(batches, "text"):
                 raw = data.tobytes()
                 keys = [[*{*line_keys(raw[a:b])} - {b""}] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 h1, h2 = _pairs([k for own in keys for k in own])
-                n = np.array([len(own) for own in keys])
-                t1, t2 = (np.repeat(_text.column(rows, c).to_numpy(), n) for c in ("t1", "t2"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1, t2, h1, h2)], names=["t1", "t2", "h1", "h2"])
-
-        named = docs.withColumns({"__t1": F.xxhash64("text"), "__t2": F.xxhash64("text", F.lit(1))})
-        texts = named.where(F.col("text").isNotNull()).groupBy(F.col("__t1").alias("t1"), F.col("__t2").alias("t2")).agg(F.min("text").alias("text"))
-        found = texts.mapInArrow(explode, schema).join(self.common(), ["h1", "h2"])
-        drops = found.groupBy(F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).agg(F.collect_list(F.struct("h1", "h2")).alias("__drop"))
-        whole = named.join(drops, ["__t1", "__t2"], "left").select(*docs.columns, "__drop")
+                row = np.repeat(np.arange(len(keys)), [len(own) for own in keys])
+                yield pa.RecordBatch.from_arrays([_text.column(rows, "sha").take(pa.array(row)), pa.array(h1), pa.array(h2)], names=schema.names)
+
+        named = docs.withColumn("__sha", F.unhex(F.sha2("text", 256)))
+        texts = named.where(F.col("text").isNotNull()).groupBy(F.col("__sha").alias("sha")).agg(F.first("text").alias("text"))
+        common = self.refs.where(F.col("refs") >= self.min_docs)
+        found = spread_join(texts.mapInArrow(explode, schema), common, ["h1", "h2"], "refs", common.agg(F.sum("refs")).first()[0] or 0)
+        drops = found.groupBy(F.col("sha").alias("__sha")).agg(F.collect_list(F.struct("h1", "h2")).alias("__drop"))
+        whole = named.join(drops, "__sha", "left").select(*docs.columns, "__drop")
         out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
