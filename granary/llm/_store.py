@@ -13,10 +13,13 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; only where that is unset (tests, one
-    machine), under a temporary folder of this process."""
+    """A new folder's URI under spark.checkpoint.dir. Only a local session may leave that unset,
+    and then has a temporary folder of this process; a cluster's executors would each write to
+    their own disk, so there it is an error."""
     base = spark.conf.get(KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
         if KEY not in _own:
             _own[KEY] = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         base = _own[KEY]
