@@ -118,7 +118,7 @@ def thresholds(scored: DataFrame, labels: DataFrame, stratum: str = "lang", risk
     counts = [F.sum((F.col(rule) > c).cast("long")).alias(f"{rule}_{i}") for rule, cuts in CUTOFFS.items() for i, c in enumerate(cuts)]
     per = written(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "risk-counts")
     cells = F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, cuts in CUTOFFS.items() for i, c in enumerate(cuts))))
-    tests = F.lit(len(CUTOFFS)) * F.count("*").over(Window.partitionBy(F.lit(1)))
+    tests = F.lit(len(CUTOFFS) * max(1, per.count()))
     tail = binomial_tail(F.col("n"), F.col("k"), risk / len(CUTOFFS))
     tested = per.withColumn("level", F.lit(delta) / tests).select("stratum", "n", "level", cells).withColumn("valid", tail <= F.col("level"))
     so_far = F.min(F.col("valid").cast("int")).over(Window.partitionBy("stratum", "rule").orderBy("i"))
@@ -138,6 +138,12 @@ def judged(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Data
 
 def assess(docs: DataFrame, labels: DataFrame, keep_text: bool = False) -> DataFrame:
     """`docs` with counts, scores and kept, without text unless it is asked for. Measured rows
-    are written once: the labelled ones set the cutoffs and all are judged from there."""
+    are written once: the labelled ones set the cutoffs and all are judged from there.
+
+    A null text counts as empty; both fail the base rules. Very long texts are measured whole. A
+    null stratum is a stratum of its own (''). Rows with a null doc_id have no label; rows that
+    repeat a doc_id are each judged by their own text and share its labels. A score equal to a
+    cutoff is kept. Columns named as the counts, scores, base_failed and kept are replaced. An
+    empty table gives an empty result, and without labels only the base rules reject."""
     scored = written(measured(docs) if keep_text else measured(docs).drop("text"), "quality")
     return judged(scored, thresholds(scored, labels))

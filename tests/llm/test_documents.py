@@ -45,7 +45,10 @@ def test_shards(spark, monkeypatch):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert all(len(x) == 1 for x in of_text.values())
     assert max(sums.values()) - min(sums.values()) <= 16
-    assert sharding.shard_documents(odd_documents(spark)).count() == N_ODD
+    odd = sharding.shard_documents(odd_documents(spark)).collect()
+    assert len(odd) == N_ODD and sum(r["doc_id"] is None for r in odd) == 1
+    assert {r["doc_id"]: r["size"] for r in odd if r["doc_id"] in (0, 1, 6, 9)} == {0: 8, 1: 8, 6: 8 + len("é ê 中文 😀".encode()), 9: 50_008}
+    assert len({r["shard"] for r in odd if r["doc_id"] in (0, 1)}) == 1 and len({r["shard"] for r in odd if r["doc_id"] == 5}) == 1
     assert sharding.shard_documents(documents(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -211,8 +214,16 @@ def test_cuckoo_filter():
     assert not small.insert(*keys)
 
 
-def test_lines_of_odd_and_empty_tables(spark):
-    assert line_dedup.dedup_lines(odd_documents(spark)).count() == N_ODD
+def test_lines_of_odd_and_empty_tables(spark, monkeypatch):
+    for limit in (64 << 20, 0):
+        monkeypatch.setattr(line_dedup, "FILTER_BYTES", limit)
+        got = line_dedup.dedup_lines(odd_documents(spark), 2)
+        assert got.columns[-2:] == ["n_lines", "n_dropped"] and got.count() == N_ODD
+        rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["kept"], r["n_words"]) for r in got.where("doc_id is not null").collect()}
+        # "a" stands in documents 4, 5 (twice) and in that without an id; "a a" in 5, twice there
+        assert rows[0] == (None, 1, 0, False, -1) and rows[1][:3] == ("", 1, 0) and rows[2][:3] == ("\n", 2, 0)
+        assert rows[4][:3] == ("", 1, 1) and rows[5][:3] == ("", 2, 2) and rows[8][1:3] == (1, 0) and rows[10][:3] == ("word\r\nword", 2, 0)
+        assert got.where("doc_id is null").select("text", "n_dropped").collect() == [("", 1)]
     assert line_dedup.dedup_lines(documents(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -234,7 +245,34 @@ def test_base_rules(spark):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = quality_rules.measured(documents(spark, texts)).orderBy("doc_id").select(*names).collect()
     assert [tuple(r) for r in got] == [base(t) for t in texts]
-    assert quality_rules.measured(odd_documents(spark)).count() == N_ODD
+    odd = quality_rules.measured(odd_documents(spark)).select("doc_id", "text", *names).collect()
+    assert len(odd) == N_ODD and all(tuple(r)[2:] == base(r["text"]) for r in odd)
+
+
+def test_cutoffs_equal_their_sql(spark):
+    """At sf0.1 three strata and more have labels enough for cutoffs, which reject some rows."""
+    import duckdb
+
+    from granary.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    found = queries.op9_quality_rules(spark, folder).collect()
+    with duckdb.connect() as con:
+        for name in ("documents", "labels"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+        result = con.execute(queries.ORACLES["op9_quality_rules"])
+        names = [x[0] for x in result.description]
+        want = result.fetchall()
+    assert sorted(tuple(r[n] for n in names) for r in found) == sorted(want)
+    assert sum(not r["kept"] and not r["base_failed"] for r in found) > 100
+
+
+def test_cutoffs_that_are_equal_keep(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(3)]
+    docs = documents(spark, texts + texts[:1]).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.lit(1))).withColumn("lang", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.assess(docs, labels).collect()
+    assert len(got) == 4 and all(r["kept"] is True and r["n_words"] == 60 for r in got)
 
 
 def test_binomial_tail(spark):
