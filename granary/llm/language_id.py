@@ -13,8 +13,10 @@ too small for a float. A character that no piece has costs a fixed factor. The v
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,29 +49,59 @@ def pieces_of(file: str) -> list[str]:
 
 
 class Lattice:
-    """All segmentations of many words of one length, as ids of pieces by end and length."""
+    """All segmentations of many words of one length, as ids of pieces by end and length.
+
+    Pieces are a trie whose steps, (state, character) to state, lie in an open hash table; all
+    places of all words step through it together."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.pieces = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
-        self.beginnings = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.none = len(pieces)
+        states = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                states.setdefault(p[:k], len(states))
+        self.piece = np.full(len(states), self.none, np.int32)
+        self.piece[[states[p] for p in pieces]] = np.arange(len(pieces))
+        steps = [(states[x[:-1]] << 21 | ord(x[-1]), i) for x, i in states.items() if x]
+        keys, to = (np.array(x, np.int64) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 2
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free, first = np.unique(slots[left], return_index=True)
+            first = first[self.keys[free] < 0]
+            placed = left[first]
+            self.keys[slots[placed]], self.to[slots[placed]] = keys[placed], to[placed]
+            left = np.delete(left, first)
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which steps there are, and where they lead."""
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            held = self.keys[slots[left]]
+            left = left[(held != keys[left]) & (held >= 0)]
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+        there = np.flatnonzero(self.keys[slots] == keys)
+        return there, self.to[slots[there]]
 
     def ids(self, words: list[str]) -> np.ndarray:
         """[word, end, length - 1]: the piece that ends there, or `none`. Words have one length."""
         n, width = len(words), len(words[0]) + 1
+        chars = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width).astype(np.int64)
         out = np.full((n, width + 1, self.longest), self.none, np.int32)
-        get, none, beginnings = self.pieces.get, self.none, self.beginnings
-        for i, word in enumerate(words):
-            marked = MARK + word
-            for start in range(width):
-                for end in range(start + 1, width + 1):
-                    part = marked[start:end]
-                    if part not in beginnings:
-                        break
-                    found = get(part, none)
-                    if found != none:
-                        out[i, end, end - start - 1] = found
+        word, start = (x.ravel() for x in np.divmod(np.arange(n * width), width))
+        state = np.zeros(n * width, np.int64)
+        for size in range(1, min(self.longest, width) + 1):
+            inside = np.flatnonzero(start + size <= width)
+            word, start, state = word[inside], start[inside], state[inside]
+            there, state = self._next(state << 21 | chars[word, start + size - 1])
+            word, start = word[there], start[there]
+            out[word, start + size, size - 1] = self.piece[state]
         return out
 
 
@@ -163,15 +195,16 @@ def _by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
             yield at[k : k + step], [words[i] for i in at[k : k + step]]
 
 
+_RUN = re.compile(r"[^\W\d_]+")
+
+
 def letters_of(text: str) -> list[str]:
     """The lower-cased runs of letters."""
-    out: list[str] = []
-    for token in text.lower().split():
-        if token.isalpha():
-            out.append(token)
-        else:
-            out += "".join(c if c.isalpha() else " " for c in token).split()
-    return out
+    found = _RUN.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # numbers that are no decimal digits, as one half, are no letters
+    return [own for run in found for own in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -291,23 +324,25 @@ class Scorer:
             new = list(dict.fromkeys(w for own in words for w in own))
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        langs, scores = [], np.zeros(len(texts))
-        for i, own in enumerate(words):
-            if not own or not self.model.languages:
-                langs.append(UNDETERMINED)
-                continue
-            total = self.scores[list(map(get, own))].sum(axis=0)
-            best = int(total.argmax())
-            langs.append(self.model.languages[best])
-            scores[i] = 1 / np.exp(total - total[best]).sum()
+        langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        some = [i for i, own in enumerate(words) if own] if self.model.languages else []
+        if some:
+            at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+            sizes = np.array([len(words[i]) for i in some])
+            total = np.add.reduceat(self.scores[at], np.cumsum(sizes) - sizes, axis=0)
+            best = total.argmax(axis=1)
+            scores[some] = 1 / np.exp(total - total[np.arange(len(some)), best][:, None]).sum(axis=1)
+            for i, k in zip(some, best.tolist(), strict=True):
+                langs[i] = self.model.languages[k]
         return langs, scores
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score, the posterior for equal priors, of every row. A
     text that is null or has no letter is `und` with score 0; ties go to the first language in
-    order. With no labelled documents at all, every text is `und`."""
+    order. Texts are scored whole, however long; rows that repeat a doc_id or a text are scored
+    each by its text, and a null doc_id is not held out. With no labelled documents at all, every
+    text is `und`; an empty table gives an empty result. Other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probabilities))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -31,6 +31,53 @@ def log_total(word, pieces, p, column):
     return sums[-1]
 
 
+def test_lattice_holds_every_piece():
+    pick = np.random.default_rng(16)
+    pieces = sorted({"".join(pick.choice(list("▁abcß中𝄞"), pick.integers(1, 6))) for _ in range(300)})
+    lattice = language_id.Lattice(pieces)
+    number = {p: i for i, p in enumerate(pieces)}
+    for length in (1, 2, 7, 30):
+        words = ["".join(pick.choice(list("abcß中𝄞x"), length)) for _ in range(20)]
+        ids = lattice.ids(words)
+        assert ids.shape == (20, length + 2, lattice.longest)
+        for i, word in enumerate(words):
+            marked = "▁" + word
+            for end in range(length + 2):
+                for size in range(1, lattice.longest + 1):
+                    part = marked[end - size : end] if end >= size else None
+                    assert ids[i, end, size - 1] == number.get(part, lattice.none)
+    assert language_id.Lattice([]).ids(["ab"]).tolist() == [[[0]] * 4]
+
+
+def test_letters():
+    texts = ["Don't x2y a_b", "½ab²c Ⅷ", "İSTANBUL ǅ", "中文，字 é\u0301", "", "1 _ ²"]
+    for text in texts:
+        want = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        assert language_id.letters_of(text) == want
+
+
+def test_a_text_without_spaces_and_a_word_of_sixty_letters():
+    pieces = ["▁", "a", "ab", "b", "中", "中文", "文字"]
+    p = np.random.default_rng(17).random((len(pieces), 2))
+    texts = ["ab" * 30, "中文字" * 400, "ab " + "b" * 25]
+    langs, scores = language_id.Scorer(language_id.Model(["x", "y"], pieces, p)).texts([*texts, None, "12"])
+    for i, text in enumerate(texts):
+        total = [sum(log_total(w, pieces, p, c) for w in text.split()) for c in range(2)]
+        assert langs[i] == "xy"[int(total[1] > total[0])] and abs(scores[i] - 1 / (1 + math.exp(-abs(total[0] - total[1])))) < 1e-6
+    assert langs[3:] == ["und", "und"] and scores[3:].tolist() == [0, 0]
+
+
+def test_odd_and_empty_tables(spark):
+    from tests.llm.helpers import N_ODD, documents, odd_documents
+
+    model = language_id.train(odd_documents(spark).withColumn("lang", F.lit("en")), PIECES, rounds=1)
+    rows = language_id.identify(odd_documents(spark).unionByName(odd_documents(spark)), model).collect()
+    assert len(rows) == 2 * N_ODD
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    assert {i: got[i] for i in (0, 1, 2, 3, 4, 7, 8, 11, None)} == {i: ("en", 1.0) if i in (4, 8, None) else ("und", 0.0) for i in (0, 1, 2, 3, 4, 7, 8, 11, None)}
+    assert language_id.identify(documents(spark, ["x"]).limit(0), model).count() == 0
+
+
 def test_long_words_are_summed_whole():
     pieces = ["▁", "▁a", "a", "ab", "b", "donaudampfschiff", "fahrt", "ababababababab"]
     p = np.random.default_rng(14).random((len(pieces), 2))
