@@ -10,9 +10,10 @@ that is close enough is a licence file and licenses its directory. A
 document without a header takes the license of the nearest directory above it that has one,
 found by joins of distinct directories with their ancestors.
 
-Inverse document frequencies of template words are counted over all documents; a word that is in
-no template weighs as the median template word does. Only the table of template words, a fixed number of rows,
-reaches the driver.
+Weights are term frequency times inverse document frequency, for all words alike. Words are known
+by hash; their documents are counted in an aggregate over all texts. The commonest words, COMMON at
+most, and those of the templates reach the driver and are broadcast; rarer ones weigh as the
+rarest of these do, so with up to COMMON different words every weight is exact.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from importlib import resources
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import _text
+from granary.llm._joins import spread_join
 from granary.llm._store import written
 
 HEADER_COSINE, FILE_COSINE = 0.6, 0.75
+#: Words with a document frequency of their own, at most; template words are added to them.
+COMMON = 1 << 17
 #: Whole texts are scored in blocks of so many, which bounds their matrix of counts.
 FILE_BLOCK = 128
 
@@ -97,8 +100,14 @@ class Vocabulary:
         number = {w: i for i, w in enumerate(other.words)}
         return np.array([number.get(w, -1) for w in self.words] + [-1])
 
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all words of a buffer and each one's number, -1 for other words."""
+    def hashes(self) -> np.ndarray:
+        """The hash of every word, by number."""
+        out = np.zeros(len(self.words), np.uint64)
+        out[self.numbers] = self.keys
+        return out
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of all words of a buffer, each one's number, -1 for other words, and hash."""
         data = _FOLD[data]
         starts, ends = _text.spans_of(_WORD[data], offsets)
         keys = _text.span_hashes(data, starts, ends)
@@ -107,37 +116,88 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys[likely]), len(self.keys) - 1)
         same = self.keys[at] == keys[likely]
         out[likely[same]] = self.numbers[at[same]]
-        return starts, out
+        return starts, out, keys
+
+
+class Weights:
+    """Inverse document frequencies of words by hash."""
+
+    def __init__(self, total: int, keys: np.ndarray, counts: np.ndarray, least: int) -> None:
+        """Documents of the words `keys` (sorted) and of all others, `least`."""
+        self.keys, idf = keys, lambda n: np.log((1 + total) / (1 + n)) + 1
+        self.values, self.rare = idf(counts.astype(float)), float(idf(float(least)))
+        self.coarse = np.zeros(1 << 20, bool)
+        self.coarse[(keys >> np.uint64(44)).astype(np.int64)] = True
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rare)
+        likely = np.flatnonzero(self.coarse[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, hashes[likely]), max(0, len(self.keys) - 1))
+        same = self.keys[at] == hashes[likely] if len(self.keys) else np.zeros(0, bool)
+        out[likely[same]] = self.values[at[same]]
+        return out
 
-def document_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[int, int]]:
-    """The number of documents and, by number of the word, of those that hold it."""
+
+def document_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> Weights:
+    """Weights from the numbers of documents that hold each word."""
     schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total = Vocabulary(templates), 0
-        counts = np.zeros(len(vocabulary.words), np.int64)
-        for rows, data, at in _text.slices(batches, "text"):
-            starts, words = vocabulary.find(data, at)
-            known = np.flatnonzero(words >= 0)
-            row = np.searchsorted(at, starts[known], "right") - 1
-            pairs = np.unique(row * len(counts) + words[known])
-            counts += np.bincount(pairs % len(counts), minlength=len(counts))
-            total += rows.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(counts))), pa.array(np.concatenate([[total], counts]))], names=["word", "n"])
-
-    found = {r[0]: r[1] for r in docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n")).collect()}
-    return found.pop(-1, 0), found
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            words, at = np.unique(np.concatenate([w for w, _ in kept]), return_inverse=True)
+            return words, np.bincount(at, np.concatenate([n for _, n in kept]), len(words)).astype(np.int64)
+
+        batch = lambda words, n: pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+        held, merged = 0, 0
+        for _, data, at in _text.slices(batches, "text"):
+            folded = _FOLD[data]
+            starts, ends = _text.spans_of(_WORD[folded], at)
+            keys, row = _text.span_hashes(folded, starts, ends), np.searchsorted(at, starts, "right") - 1
+            order = np.lexsort((row, keys))
+            keys, row = keys[order], row[order]
+            once = np.ones(len(keys), bool)
+            once[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+            words, n = np.unique(keys[once], return_counts=True)
+            kept.append((words, n))
+            held += len(words)
+            if held > 1_000_000 + merged:
+                kept[:] = [summed()]
+                held = merged = len(kept[0][0])
+                if merged > 2_000_000:
+                    yield batch(*kept.pop())
+                    held = merged = 0
+        if kept:
+            yield batch(*summed())
+
+    total = docs.count()
+    counted = written(docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # counts by steps of a sixteenth of a power of two: the lowest step from which on words fit
+    step = F.floor(16 * F.log2("n")).cast("int")
+    steps = sorted(((r["step"], r["words"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    lowest, words = (steps[0][0] + 1 if steps else 0), 0
+    for at, n in steps:
+        words += n
+        if words > COMMON:
+            break
+        lowest = at
+    own = Vocabulary(templates).hashes().view(np.int64)
+    template = docs.sparkSession.createDataFrame([(int(x),) for x in own], "word long")
+    found = counted.where(step >= lowest).unionByName(counted.where(step < lowest).join(F.broadcast(template), "word", "left_semi")).toArrow()
+    keys, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    whole = words <= COMMON
+    return Weights(total, keys[order], n[order], 0 if whole else int(2 ** (lowest / 16)))
 
 
 class Scorer:
     """Cosines of bags of words to the templates."""
 
-    def __init__(self, templates: list[tuple[str, str]], total: int, frequencies: dict[int, int]) -> None:
+    def __init__(self, templates: list[tuple[str, str]], weights: Weights) -> None:
         self.vocabulary = Vocabulary(templates)
         number = {w: i for i, w in enumerate(self.vocabulary.words)}
-        self.idf = np.array([log((1 + total) / (1 + frequencies.get(i, 0))) + 1 for i in range(len(number))])
-        self.other = float(np.median(self.idf))
+        self.idf = weights.of(self.vocabulary.hashes())
         self.names = [name for name, _ in templates]
         self.lengths = [len(template_words(text)) for _, text in templates]
         self.templates = np.zeros((len(templates), len(number)))
@@ -147,20 +207,37 @@ class Scorer:
         self.templates /= np.linalg.norm(self.templates, axis=1, keepdims=True)
 
     def best(self, counts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of bags (counts of template words, number of other words): the closest template, the
-        first on a tie, and its cosine."""
+        """Of bags (counts of template words, squared norm of the other words' weights): the
+        closest template, the first on a tie, and its cosine."""
         weights = counts * self.idf
-        norms = np.sqrt((weights**2).sum(axis=1) + self.other**2 * others)
+        norms = np.sqrt((weights**2).sum(axis=1) + others)
         scores = weights @ self.templates.T / np.maximum(norms, 1e-300)[:, None]
         at = scores.argmax(axis=1)
         return at, np.round(scores[np.arange(len(at)), at], 9)
 
 
-def bags(groups: np.ndarray, words: np.ndarray, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bags of words by group: counts of the `size` template words, and the number of other words."""
-    inside = words >= 0
-    flat = np.bincount(groups[inside] * size + words[inside], minlength=count * size)
-    return flat.reshape(count, size), np.bincount(groups[~inside], minlength=count)
+class Bag:
+    """The words of a slice: number of each in a vocabulary (-1: none), hash and weight."""
+
+    def __init__(self, words: np.ndarray, hashes: np.ndarray, idf: np.ndarray) -> None:
+        self.words, self.hashes, self.idf = words, hashes, idf
+
+    def take(self, at: np.ndarray | slice) -> Bag:
+        return Bag(self.words[at], self.hashes[at], self.idf[at])
+
+    def grouped(self, groups: np.ndarray, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bags of words by group: counts of the `size` template words, and the squared norm of
+        the other words' weights, frequency times idf."""
+        inside = self.words >= 0
+        flat = np.bincount(groups[inside] * size + self.words[inside], minlength=count * size)
+        own, keys, idf = groups[~inside], self.hashes[~inside], self.idf[~inside]
+        order = np.lexsort((keys, own))
+        own, keys, idf = own[order], keys[order], idf[order]
+        first = np.ones(len(own), bool)
+        first[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
+        at = np.flatnonzero(first)
+        frequency = np.diff(np.append(at, len(own)))
+        return flat.reshape(count, size), np.bincount(own[at], (frequency * idf[at]) ** 2, count)
 
 
 def keep_best(header: list[tuple[float, int] | None], owners: np.ndarray, which: np.ndarray, scores: np.ndarray) -> None:
@@ -173,28 +250,41 @@ def keep_best(header: list[tuple[float, int] | None], owners: np.ndarray, which:
             header[owners[i]] = new
 
 
-def whole_scores(scorer: Scorer, row: np.ndarray, words: np.ndarray, n: int) -> Iterator[tuple[int, float, int]]:
-    """Of n texts, those that are licence files: (text, cosine, template). row: of every word."""
+def whole_scores(scorer: Scorer, row: np.ndarray, bag: Bag, n: int) -> Iterator[tuple[int, float, int]]:
+    """Of n texts, those that are licence files: (text, cosine, template). row: of every word.
+
+    A word that comes twice counts for more in a norm than two words do, so a norm is at least
+    that of the weights by place; only texts that could be close enough by that one are scored."""
     size = len(scorer.vocabulary.words)
     ends = np.searchsorted(row, np.arange(n + 1))
+    squares = np.concatenate([[0], np.cumsum(bag.idf**2)])[ends]
     for first in range(0, n, FILE_BLOCK):
         last = min(first + FILE_BLOCK, n)
-        own = slice(ends[first], ends[last])
-        which, scores = scorer.best(*bags(row[own] - first, words[own], last - first, size))
+        own = np.arange(ends[first], ends[last])
+        inside = own[bag.words[own] >= 0]
+        counts = np.bincount((row[inside] - first) * size + bag.words[inside], minlength=(last - first) * size).reshape(-1, size)
+        dots = ((counts * scorer.idf) @ scorer.templates.T).max(axis=1)
+        texts = first + np.flatnonzero((dots > 0) & (dots >= (FILE_COSINE - 1e-6) * np.sqrt(np.diff(squares[first : last + 1]))))
+        if not len(texts):
+            continue
+        lengths = ends[texts + 1] - ends[texts]
+        _, others = bag.take(_text.ragged(ends[texts], lengths)).grouped(np.repeat(np.arange(len(texts)), lengths), len(texts), size)
+        which, scores = scorer.best(counts[texts - first], others)
         for i in np.flatnonzero(scores >= FILE_COSINE).tolist():
-            yield first + i, float(scores[i]), int(which[i])
+            yield int(texts[i]), float(scores[i]), int(which[i])
 
 
-def windows(scorer: Scorer, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(scorer: Scorer, row: np.ndarray, bag: Bag) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of words that may be as close as HEADER_COSINE to a template of
     about their length (that or half as much again) and begin with a word of it. row: of every word.
 
     A word that comes twice counts for more in a bag's norm than two words do, so norms by sums
     over places are no larger and no run that is close enough is left out."""
+    words = bag.words
     known = np.flatnonzero(words >= 0)
     telling = np.append(scorer.vocabulary.telling, False)
     told = np.concatenate([[0], np.cumsum(telling[words])])
-    squares = np.concatenate([[0], np.cumsum(np.append(scorer.idf**2, scorer.other**2)[words])])
+    squares = np.concatenate([[0], np.cumsum(bag.idf**2)])
     row_end = np.searchsorted(row, row[known], "right")
     found = []
     for template, length in zip(scorer.templates, scorer.lengths, strict=True):
@@ -221,17 +311,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     lines that are headers or hold one, and, of a licence file, its license and cosine. Null texts
     have none."""
     files = templates + full_texts()
-    total, frequencies = document_frequencies(docs, files)
+    weights = document_frequencies(docs, files)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = Scorer(files, total, frequencies)
-        to_notice = whole.vocabulary.numbers_in(Vocabulary(templates))
-        scorer = Scorer(templates, total, {int(to_notice[w]): n for w, n in frequencies.items()})
+        weights = sent.value
+        whole, scorer = Scorer(files, weights), Scorer(templates, weights)
+        to_notice = whole.vocabulary.numbers_in(scorer.vocabulary)
         telling, size = scorer.vocabulary.telling, len(scorer.vocabulary.words)
         for rows, data, at in _text.slices(batches, "text"):
             n = rows.num_rows
-            starts, file_words = whole.vocabulary.find(data, at)
+            starts, file_words, hashes = whole.vocabulary.find(data, at)
+            file_bag = Bag(file_words, hashes, weights.of(hashes))
             words = to_notice[file_words]
+            bag = Bag(words, hashes, file_bag.idf)
             breaks = np.zeros(len(data) + 1, np.int64)
             np.cumsum(data == 0x0A, out=breaks[1:])
             row = np.searchsorted(at, starts, "right") - 1
@@ -250,24 +343,24 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
                 block = np.concatenate([[0], np.cumsum(~joined)])
                 of_line = np.searchsorted(lines, line)
                 own = np.flatnonzero(lines[np.minimum(of_line, len(lines) - 1)] == line)
-                which, scores = scorer.best(*bags(of_line[own], words[own], len(lines), size))
+                which, scores = scorer.best(*bag.take(own).grouped(of_line[own], len(lines), size))
                 keep_best(header, owner, which, scores)
                 of_headers.append(lines[scores >= HEADER_COSINE])
                 blocks = int(block[-1]) + 1
                 if blocks < len(lines):
-                    which, scores = scorer.best(*bags(block[of_line[own]], words[own], blocks, size))
+                    which, scores = scorer.best(*bag.take(own).grouped(block[of_line[own]], blocks, size))
                     keep_best(header, owner[np.searchsorted(block, np.arange(blocks))], which, scores)
-            begin, end = windows(scorer, row, words)
+            begin, end = windows(scorer, row, bag)
             for first in range(0, len(begin), 4096):
                 start, length = begin[first : first + 4096], (end - begin)[first : first + 4096]
-                counts, others = bags(np.repeat(np.arange(len(start)), length), words[_text.ragged(start, length)], len(start), size)
+                counts, others = bag.take(_text.ragged(start, length)).grouped(np.repeat(np.arange(len(start)), length), len(start), size)
                 which, scores = scorer.best(counts, others)
                 scores[(counts[:, telling] > 0).sum(axis=1) < 2] = 0
                 keep_best(header, row[start], which, scores)
                 own_line = line[start] == line[start + length - 1]
                 of_headers.append(line[start[own_line & (scores >= HEADER_COSINE)]])
             n_headers = np.bincount(np.searchsorted(first_line, np.unique(np.concatenate(of_headers)), "right") - 1, minlength=n)
-            for i, score, which in whole_scores(whole, row, file_words, n):
+            for i, score, which in whole_scores(whole, row, file_bag, n):
                 file[i] = (score, which)
             name = lambda found: pa.array([whole.names[x[1]] if x else None for x in found], pa.string())
             score = lambda found: pa.array([x[0] if x else None for x in found], pa.float64())
@@ -284,17 +377,25 @@ def _parent(path: F.Column) -> F.Column:
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Every row of (doc_id, path, text) with its scan, `license` and `license_from`: 'header',
     'file', the directory it is inherited from, or null. Where a directory has several licence
-    files, the highest cosine holds, then the least license name. Without a path nothing is
-    inherited."""
+    files, the highest cosine holds, then the least license name. Of templates that are equally
+    close the first holds.
+
+    Null and empty texts have no license of their own and may inherit one. Without a path nothing
+    is inherited. Rows that repeat a doc_id or a path are rows like others. Texts are read whole.
+    Other columns are ignored; an empty table gives an empty result. A directory that holds a
+    great part of the rows, and the top one, are broadcast in the joins (`_joins`)."""
     scanned = written(scan(docs, templates).withColumn("dir", _parent(F.col("path"))), "licenses")
     own = scanned.where(F.col("file_license").isNotNull() & F.col("dir").isNotNull()).groupBy("dir", "file_license").agg(F.max("file_score").alias("score"))
     licensed = own.groupBy(F.col("dir").alias("above")).agg(F.min_by("file_license", F.struct(-F.col("score"), "file_license")).alias("dir_license"))
-    dirs = scanned.select("dir").where(F.col("dir").isNotNull()).distinct()
+    dirs = written(scanned.where(F.col("dir").isNotNull()).groupBy("dir").agg(F.count("*").alias("held")), "directories")
     parts = F.split("dir", "/")
     depths = F.sequence(F.lit(0), F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(parts)))
-    climbs = dirs.withColumn("depth", F.explode(depths)).withColumn("above", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest("depth", F.lit(1))), "/")))
-    nearest = climbs.join(licensed, "above").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), "depth").alias("found"))
-    out = scanned.join(nearest, "dir", "left")
+    climbs = dirs.withColumn("depth", F.explode(depths)).select("dir", "depth", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest("depth", F.lit(1))), "/")).alias("above"))
+    above = written(climbs.groupBy("above").agg(F.count("*").alias("below")).join(licensed, "above"), "licensed-directories")
+    reached = spread_join(climbs, above, ["above"], "below", dirs.count())
+    nearest = written(dirs.join(reached.groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), "depth").alias("found")), "dir", "left"), "nearest")
+    placed = spread_join(scanned.where(F.col("dir").isNotNull()), nearest, ["dir"], "held", scanned.count())
+    out = placed.unionByName(scanned.where(F.col("dir").isNull()), allowMissingColumns=True)
     return out.select(
         "doc_id", "path", "header_license", "header_score", "n_headers", "file_license", "file_score",
         F.coalesce("file_license", "header_license", "found.dir_license").alias("license"),

@@ -80,7 +80,8 @@ NOTICES = [
     ("Copyright 2024 Example Corp. Released under the MIT License.", "MIT", 1),
     (PROSE * 9 + "This work is licensed under the GNU General Public License, version 3. " + PROSE * 9, "GPL-3.0", 1),
     (PROSE * 50 + "Licensed under CC BY-NC 4.0. " + PROSE, "CC-BY-NC-4.0", 1),
-    (PROSE + "\n" + PROSE + "Released under\nthe MIT License. " + PROSE, "MIT", 0),
+    # across lines; the words of PROSE weigh little, so the second line alone is close enough
+    (PROSE + "\n" + PROSE + "Released under\nthe MIT License. " + PROSE, "MIT", 1),
     ("Released under the MIT License. " + PROSE + "\n" + PROSE + " Released under the MIT License.", "MIT", 2),
     ("Released under the MIT License.\n" * 3, "MIT", 3),
     (PROSE * 20 + "a license to sell grain, and the general public came to the mill " + PROSE * 20, None, 0),
@@ -98,7 +99,9 @@ def test_windows_miss_nothing():
     import numpy as np
 
     pick = np.random.default_rng(13)
-    scorer = license_scan.Scorer(license_scan.TEMPLATES, 1000, {i: int(n) for i, n in enumerate(pick.integers(0, 900, 150))})
+    keys = np.sort(license_scan.Vocabulary(license_scan.TEMPLATES).hashes())
+    weights = license_scan.Weights(1000, keys, pick.integers(0, 900, len(keys)), 3)
+    scorer = license_scan.Scorer(license_scan.TEMPLATES, weights)
     size = len(scorer.vocabulary.words)
     number = {w: i for i, w in enumerate(scorer.vocabulary.words)}
     words = []
@@ -107,16 +110,18 @@ def test_windows_miss_nothing():
         words += [number[w] if pick.random() < 0.8 else -1 for w in license_scan.template_words(license_scan.TEMPLATES[pick.integers(0, len(license_scan.TEMPLATES))][1])]
     words = np.array(words)
     row = np.arange(len(words)) // 97
-    found = set(zip(*(x.tolist() for x in license_scan.windows(scorer, row, words)), strict=True))
+    hashes = np.where(words >= 0, scorer.vocabulary.hashes()[words], np.arange(len(words)).astype(np.uint64) % np.uint64(50))
+    bag = license_scan.Bag(words, hashes, weights.of(hashes))
+    found = set(zip(*(x.tolist() for x in license_scan.windows(scorer, row, bag)), strict=True))
     close = 0
     for t, length in enumerate(scorer.lengths):
         for reach in (length, length + length // 2):
             for i in range(len(words)):
                 last = min(i + reach, int(np.searchsorted(row, row[i], "right")))
                 own = words[i:last]
-                bag = np.bincount(own[own >= 0], minlength=size)
-                weights = bag * scorer.idf
-                cosine = weights @ scorer.templates[t] / np.sqrt(weights @ weights + scorer.other**2 * (own < 0).sum() + 1e-300)
+                counts, others = bag.take(slice(i, last)).grouped(np.zeros(last - i, np.int64), 1, size)
+                own_weights = counts[0] * scorer.idf
+                cosine = own_weights @ scorer.templates[t] / np.sqrt(own_weights @ own_weights + others[0] + 1e-300)
                 if words[i] >= 0 and scorer.templates[t, words[i]] and scorer.vocabulary.telling[own[own >= 0]].sum() >= 2 and cosine >= license_scan.HEADER_COSINE:
                     close += 1
                     assert (i, last) in found

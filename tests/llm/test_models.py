@@ -363,13 +363,93 @@ def test_cosine_by_hand():
     from math import log
 
     templates = [("A", "alpha beta"), ("B", "beta gamma gamma")]
-    scorer = license_scan.Scorer(templates, 10, {0: 1, 1: 9, 2: 0})
+    vocabulary = license_scan.Vocabulary(templates)
+    keys = vocabulary.hashes()
+    order = np.argsort(keys)
+    weights = license_scan.Weights(10, keys[order], np.array([1, 9, 0])[order], 2)
+    scorer = license_scan.Scorer(templates, weights)
     idf = [log(11 / 2) + 1, log(11 / 10) + 1, log(11) + 1]
-    bag = np.array([[1, 2, 0]])
-    which, score = scorer.best(bag, np.array([3]))
-    v = np.array([idf[0], 2 * idf[1], 0])
-    t = np.array([idf[0], idf[1], 0])
-    assert which[0] == 0 and abs(score[0] - v @ t / np.linalg.norm(t) / np.sqrt(v @ v + 3 * np.median(idf) ** 2)) < 1e-8
+    rare = log(11 / 3) + 1
+    # alpha beta beta, one other word twice, one once
+    _, words, hashes = scorer.vocabulary.find(*_text.utf8(pa.array(["alpha x beta Y x beta"])))
+    bag = license_scan.Bag(words, hashes, weights.of(hashes))
+    which, score = scorer.best(*bag.grouped(np.zeros(len(words), np.int64), 1, 3))
+    v, t = np.array([idf[0], 2 * idf[1], 0]), np.array([idf[0], idf[1], 0])
+    assert which[0] == 0 and abs(score[0] - v @ t / np.linalg.norm(t) / np.sqrt(v @ v + (2 * rare) ** 2 + rare**2)) < 1e-8
+
+
+def brute_licenses(rows, templates, files, idf):
+    """(file_license, license, license_from) of (path, text) rows whose headers are whole lines."""
+    vector = lambda text: {w: n * idf(w) for w, n in collections.Counter(re.findall(r"[a-z0-9]+", text.lower())).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / (np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) or 1)
+
+    def best(text, among, least):
+        found = [(round(cosine(vector(text), vector(t)), 9), -i) for i, (_, t) in enumerate(among)]
+        score, at = max(found)
+        return (among[-at][0], score) if score >= least else (None, score)
+
+    found = [best(t, templates + files, license_scan.FILE_COSINE) if t else (None, 0) for _, t in rows]
+    heads = [max((best(x, templates, license_scan.HEADER_COSINE)[::-1] for x in (t or "").split("\n") if best(x, templates, license_scan.HEADER_COSINE)[0]), default=(0, None))[1] for _, t in rows]
+    licensed = {}
+    for (path, _), (name, score) in zip(rows, found, strict=True):
+        if name and path is not None:
+            folder = path.rpartition("/")[0]
+            licensed[folder] = min(licensed.get(folder, (0, "")), (-score, name))
+    out = []
+    for (path, _), (name, _), head in zip(rows, found, heads, strict=True):
+        if name or head:
+            out.append((name, name or head, "file" if name else "header"))
+            continue
+        folder = None if path is None else path.rpartition("/")[0]
+        while folder is not None and folder not in licensed:
+            folder = folder.rpartition("/")[0] if folder else None
+        out.append((None, licensed[folder][1] if folder in licensed else None, folder))
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    """A table of paths at many depths: cosines of whole texts, and nearest ancestors."""
+    from math import log
+
+    pick = random.Random(24)
+    files = license_scan.full_texts()
+    rows = []
+    for _ in range(250):
+        path = "/".join([*(pick.choice("abc") for _ in range(pick.randint(0, 5))), f"f{pick.randint(0, 999)}"])
+        prose = " ".join(f"w{pick.randint(0, 400)}" for _ in range(pick.randint(5, 60)))
+        kind = pick.random()
+        if kind < 0.05:
+            words = pick.choice(files)[1].split()
+            text = " ".join(w if pick.random() < 0.97 else f"w{pick.randint(0, 400)}" for w in words)
+        elif kind < 0.1:
+            text = prose + "\n" + pick.choice(license_scan.TEMPLATES)[1] + "\n" + prose
+        else:
+            text = pick.choice([prose, prose, None, ""])
+        rows.append((path if pick.random() < 0.97 else None, text))
+    held = collections.Counter(w for _, t in rows for w in {*re.findall(r"[a-z0-9]+", (t or "").lower())})
+    idf = lambda w: log((1 + len(rows)) / (1 + held[w])) + 1
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    got = license_scan.licenses(docs).orderBy("doc_id").collect()
+    want = brute_licenses(rows, license_scan.TEMPLATES, files, idf)
+    assert [(r["file_license"], r["license"], r["license_from"]) for r in got] == want
+    assert sum(w[0] is not None for w in want) > 5 and sum(w[2] not in ("file", "header", None) for w in want) > 50
+    twice = license_scan.licenses(docs.unionByName(docs)).groupBy("doc_id", "path", "license", "license_from").count()
+    assert twice.where("count = 2").count() == len(rows)
+
+
+def test_rare_words_weigh_as_the_rarest_that_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "COMMON", 5)
+    texts = ["common " * (i % 3) + " ".join(f"word{j}" for j in range(i % 40)) + f" only{i}" for i in range(200)]
+    weights = license_scan.document_frequencies(documents(spark, texts), [("A", "alpha word3")])
+    _, words, hashes = license_scan.Vocabulary([("A", "alpha word3")]).find(*_text.utf8(pa.array(["common word0 alpha word3 only5 never"])))
+    from math import log
+
+    idf = lambda n: log(201 / (1 + n)) + 1
+    got = weights.of(hashes).tolist()
+    assert len(weights.keys) <= 7 and abs(got[1] - idf(sum(i % 40 > 0 for i in range(200)))) < 1e-9
+    assert got[3] == idf(sum(i % 40 > 3 for i in range(200))) and got[4] == got[5] == weights.rare > got[1]
 
 
 # --- pipeline
