@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +85,11 @@ def prefix_set_changed(touched: DataFrame, artifacts: DataFrame) -> DataFrame:
     return own.exceptAll(untouched.distinct()).unionByName(own.exceptAll(prefixes_of(artifacts))).distinct()
 
 
-def maintained(added: DataFrame, removed: DataFrame, artifacts: DataFrame, metadata: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def maintained(added: DataFrame, removed: DataFrame, artifacts: DataFrame, metadata: DataFrame, as_of: Column, everything: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """After a change of artifacts: (new documents with bodies, content to remove), for touched
     pairs and snapshot versions only. The prefix list is made anew if the set of prefixes changed
-    or the snapshot has none."""
+    or the snapshot has none. `artifacts` may be those of the touched prefixes only; then
+    `everything` gives all, for the list."""
     both = added.select(*TRIPLE).unionByName(removed.select(*TRIPLE))
     pairs = both.select(*PAIR).distinct()
     triples = both.where(is_snapshot(F.col("version"))).distinct()
@@ -95,6 +98,6 @@ def maintained(added: DataFrame, removed: DataFrame, artifacts: DataFrame, metad
     new = pair_documents(own, as_of).unionByName(triple_documents(matching(own, triples, TRIPLE), as_of))
     lists = metadata.where(F.col("filename") == PREFIXES_FILE)
     if not pairs.isEmpty() and (lists.isEmpty() or not prefix_set_changed(pairs, artifacts).isEmpty()):
-        new = new.unionByName(prefix_file(artifacts))
+        new = new.unionByName(prefix_file(artifacts if everything is None else everything()))
         stale = stale.unionByName(lists)
     return new, without(stale, new, ["content_id"]).select("kind", "content_id").distinct()

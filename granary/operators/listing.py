@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.labels import filter_expression, selector
@@ -37,6 +37,16 @@ def selected(content: DataFrame, labels: str | None = None, q: str | None = None
     return content
 
 
+def shown(content: DataFrame, kind: str) -> DataFrame:
+    """The columns that a listing of a kind has."""
+    return content.select(*SHOWN[kind])
+
+
+def of_domain(rows: DataFrame, domain: str) -> DataFrame:
+    """Rows of one tenant."""
+    return rows.where(F.col("domain") == domain)
+
+
 def in_snapshot(content: DataFrame, members: DataFrame) -> DataFrame:
     return content.join(members.select("content_id"), "content_id", "left_semi")
 
@@ -61,6 +71,12 @@ def page(rows: DataFrame, key: str | list[str], offset: int = 0, limit: int = 10
     return rows.orderBy(*keys).offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, key: str, last: object = None, limit: int = 100) -> DataFrame:
+    """The page that follows the key `last`, the first page where that is None: no row before it
+    is sorted again, however far the page is."""
+    return (rows if last is None else rows.where(F.col(key) > F.lit(last))).orderBy(key).limit(limit)
+
+
 def counted_page(rows: DataFrame, key: str, offset: int = 0, limit: int = 100) -> DataFrame:
     """A page with the number of all rows and whether pages follow or precede. The total is an
     aggregate of its own, so no window gathers all rows."""
@@ -68,10 +84,9 @@ def counted_page(rows: DataFrame, key: str, offset: int = 0, limit: int = 100) -
     return page(rows, key, offset, limit).join(F.broadcast(total)).withColumns({"has_next": F.col("count") > offset + limit, "has_previous": F.lit(offset > 0)})
 
 
-def first_of(rows: DataFrame, group: list[str], order: str | Column) -> DataFrame:
+def first_of(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """The first row of each group."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return rows.withColumn("__n", rank).where(F.col("__n") == 1).drop("__n")
+    return rows.groupBy(*(F.col(g).alias(f"__{g}") for g in group)).agg(F.min_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
 def exactly_one(rows: DataFrame) -> DataFrame:
@@ -82,12 +97,16 @@ def exactly_one(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def lookup(path: str, content: DataFrame, members: DataFrame) -> DataFrame:
-    """The content of a snapshot at a path, found by the path's parts; its kind follows the path."""
-    spark = content.sparkSession
-    parts = spark.createDataFrame([(path,)], "path string").select(path_parts(F.col("path")).alias("p"), is_metadata_path(F.col("path")).alias("meta")).first()
-    kind = METADATA if parts["meta"] else ARTIFACT
+def at_path(path: str, content: DataFrame) -> DataFrame:
+    """The content that a path names by its parts; its kind follows the path. The parts are
+    constants of the plan, so no job is run for them and they reach the scan."""
+    parts, kind = path_parts(F.lit(path)), F.when(is_metadata_path(F.lit(path)), METADATA).otherwise(ARTIFACT)
     rows = content.where(F.col("kind") == kind)
     for name in (*GAV, "filename"):
-        rows = rows.where(F.col(name).eqNullSafe(F.lit(parts["p"][name])))
-    return exactly_one(in_snapshot(rows, members))
+        rows = rows.where(F.col(name).eqNullSafe(parts[name]))
+    return rows
+
+
+def lookup(path: str, content: DataFrame, members: DataFrame) -> DataFrame:
+    """The one content of a snapshot at a path."""
+    return exactly_one(in_snapshot(at_path(path, content), members))

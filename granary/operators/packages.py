@@ -44,7 +44,7 @@ def upserted(bodies: DataFrame, packages: DataFrame) -> DataFrame:
     """Packages to write: new ones, and snapshots with fresh fields. Releases are immutable. A
     body that cannot be read leaves an old package's fields, and gives a new one nulls."""
     parsed = bodies.select(*KEY, parsed_pom(F.col("content")).alias("pom"))
-    old = packages.select(*(F.col(k).alias(f"__{k}") for k in KEY), F.struct(*POM.names).alias("old"), F.lit(True).alias("known"))
+    old = matching(packages, parsed, KEY).select(*(F.col(k).alias(f"__{k}") for k in KEY), F.struct(*POM.names).alias("old"), F.lit(True).alias("known"))
     on = [parsed[k].eqNullSafe(old[f"__{k}"]) for k in KEY]
     both = parsed.join(old, on, "left").where(F.col("known").isNull() | is_snapshot(F.col("version")))
     fields = [F.when(F.col("pom.ok"), F.col(f"pom.{n}")).otherwise(F.col(f"old.{n}")).alias(n) for n in POM.names]
@@ -60,6 +60,7 @@ def maintained(added: DataFrame, removed: DataFrame, artifacts: DataFrame, packa
     """What a change of artifacts asks for: (packages to write, content ids to add, release keys
     whose packages go). A live release without a project file and without a package gives none."""
     touched = affected(added, removed)
+    packages = matching(packages, touched, KEY)
     alive = live_of(artifacts, touched)
     fresh = upserted(pom_bodies(needing_pom(alive, packages), artifacts, blobs, any_pom), packages)
     known = packages.select(*KEY, "content_id").unionByName(fresh.select(*KEY, "content_id")).distinct()

@@ -35,6 +35,21 @@ def snapshot(events: DataFrame, repo_id: str, version: int) -> DataFrame:
     return past.groupBy(*MEMBER).agg(F.max_by("op", "version").alias("op")).where(F.col("op") == "add").select(*MEMBER)
 
 
+def resumed(base: DataFrame, later: DataFrame) -> DataFrame:
+    """(kind, content_id) after `later` events (version, op, kind, content_id) on `base`."""
+    last = later.groupBy(*MEMBER).agg(F.max_by("op", "version").alias("op"))
+    return without(base.select(*MEMBER), last, MEMBER).unionByName(last.where(F.col("op") == "add").select(*MEMBER))
+
+
+def settled(wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """The change (op, kind, content_id) that `wanted` (rank, op, kind, content_id) asks of
+    `members`: the highest rank of each content decides, and what holds already is no change."""
+    last = wanted.groupBy(*MEMBER).agg(F.max_by("op", "rank").alias("op"))
+    there = matching(members, last, MEMBER).select(*MEMBER)
+    fresh, gone = (last.where(F.col("op") == op) for op in ("add", "remove"))
+    return without(fresh, there, MEMBER).unionByName(matching(gone, there, MEMBER)).select("op", *MEMBER)
+
+
 def changes(events: DataFrame, repo_id: str, version: int, op: str) -> DataFrame:
     """What was added (op 'add') or removed (op 'remove') at a version."""
     return events.where((F.col("repo_id") == repo_id) & (F.col("version") == version) & (F.col("op") == op)).select(*MEMBER)
@@ -47,10 +62,9 @@ def intervals(events: DataFrame) -> DataFrame:
     return stays.select("repo_id", *MEMBER, F.col("version").alias("version_added"), "version_removed")
 
 
-def at_version(stays: DataFrame, version: int | Column) -> DataFrame:
+def at_version(stays: DataFrame, version: int) -> DataFrame:
     """Rows of an interval-encoded membership that hold at a version."""
-    n = F.lit(version) if isinstance(version, int) else version
-    return stays.where((F.col("version_added") <= n) & (F.col("version_removed").isNull() | (F.col("version_removed") > n)))
+    return stays.where((F.col("version_added") <= version) & (F.col("version_removed").isNull() | (F.col("version_removed") > version)))
 
 
 def live(stays: DataFrame) -> DataFrame:

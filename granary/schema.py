@@ -1,7 +1,8 @@
 """Tables, keys and fixed values of a versioned package repository.
 
-Content is immutable and has a deterministic id, the sha256 of its kind and key. A repository is
-a log of events: at a version, content was added or removed. Nothing is updated in place.
+Content is immutable and has a deterministic id, the sha256 of its kind and key; only a missing
+blob and labels are filled in later. A repository is a log of events: at a version, content was
+added or removed. Nothing is updated in place.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ GA = ["group_id", "artifact_id"]
 GAV = [*GA, "version"]
 #: Keys that are unique within one snapshot, by kind; version may be null and nulls are equal.
 REPO_KEYS = {ARTIFACT: [*GAV, "filename"], METADATA: [*GAV, "filename"], PACKAGE: GAV}
-#: Keys that are unique within a domain, by kind; they make up the content id.
+#: Keys that are unique within a domain, by kind; they make up the content id, and so does the
+#: sha256 of a snapshot version's artifact.
 UNIQUE_KEYS = {ARTIFACT: ["domain", *GAV, "filename"], METADATA: ["domain", *GAV, "filename", "sha256"], PACKAGE: ["domain", *GAV]}
 
 
@@ -48,7 +50,12 @@ BLOBS = _fields(("domain", _S), ("sha256", _S), ("size", _L), ("md5", _S), ("sha
 EVENTS = _fields(("repo_id", _S), ("version", _L), ("op", _S), ("kind", _S), ("content_id", _S))
 VERSIONS = _fields(("repo_id", _S), ("version", _L), ("created", T.TimestampType()))
 FETCHES = _fields(("content_id", _S), ("remote_id", _S), ("created", T.TimestampType()))
-GRANTS = _fields(("principal", _S), ("scope", _S), ("object_id", _S), ("permission", _S))
+MEMBERS = _fields(("repo_id", _S), ("version", _L), ("kind", _S), ("content_id", _S))
+_DROPPED = ("dropped", T.BooleanType())
+GRANTS = _fields(("principal", _S), ("scope", _S), ("object_id", _S), ("permission", _S), _DROPPED)
+REMOTES = _fields(("domain", _S), ("name", _S), ("url", _S), ("policy", _S), _DROPPED)
+DISTRIBUTIONS = _fields(("domain", _S), ("name", _S), ("base_path", _S), ("repository", _S), ("remote", _S), _DROPPED)
+REPOSITORIES = _fields(("domain", _S), ("name", _S), ("repo_id", _S), ("remote", _S), ("description", _S), _DROPPED)
 QUARANTINE = _fields(("relative_path", _S), ("reason", _S))
 
 #: Column lengths that the data model allows; longer values are quarantined.
@@ -57,5 +64,7 @@ MAX_LENGTHS = {"group_id": 255, "artifact_id": 255, "version": 255, "filename":
 
 def content_id(kind: str) -> Column:
     """The id of content of a kind, from its unique key; a null differs from an empty string."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in UNIQUE_KEYS[kind]]
-    return F.sha2(F.concat_ws("\n", F.lit(kind), *parts), 256)
+    parts = [F.col(c) for c in UNIQUE_KEYS[kind]]
+    if kind == ARTIFACT:  # a redeployed snapshot file is other content, so old versions keep theirs
+        parts.append(F.when(F.endswith("version", F.lit(SNAPSHOT)), F.col("sha256")))
+    return F.sha2(F.concat_ws("\n", F.lit(kind), *(F.coalesce(F.concat(F.lit("="), p), F.lit("~")) for p in parts)), 256)
