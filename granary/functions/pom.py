@@ -147,3 +147,13 @@ def _parse_index(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def parsed_index(body: Column) -> Column:
     """struct(ok, group_id, artifact_id, version) of an index document."""
     return _parse_index(body)
+
+
+def as_json(value: Column) -> Column:
+    """Licenses or dependencies of a package as a JSON array of objects."""
+    return F.to_json(value)
+
+
+def from_json(text: Column, field: str) -> Column:
+    """That field of a package from its JSON; null if it is none."""
+    return F.from_json(text, POM[field].dataType)

@@ -30,12 +30,12 @@ def described(files: DataFrame, known: DataFrame) -> DataFrame:
     more = ["labels"] if "labels" in files.columns else []
     keyed = joined.select("domain", "relative_path", "sha256", *more, "kind", *map(pick, GAV), F.col("p.filename").alias("filename"), (index & ~F.col("x.ok")).alias("broken"))
     reason = F.when(is_absolute(path), "absolute path").when(F.col("broken"), "index document is not valid XML").when((F.col("kind") == ARTIFACT) & F.col("version").isNull(), "artifact without a version")
-    first = F.min("sha256").over(Window.partitionBy("domain", "relative_path"))
-    keyed = keyed.withColumn("first", first)
-    reason = reason.when(F.col("sha256") != F.col("first"), "second body of a path")
     for name, most in MAX_LENGTHS.items():
         reason = reason.when(F.char_length(name) > most, f"{name} is longer than {most}")
-    return keyed.withColumn("reason", reason).drop("broken", "first")
+    judged = keyed.withColumn("reason", reason)
+    first = F.min(F.when(F.col("reason").isNull(), F.col("sha256"))).over(Window.partitionBy("domain", "relative_path"))
+    second = F.when(F.col("sha256") != first, F.lit("second body of a path"))
+    return judged.withColumn("reason", F.coalesce("reason", second)).drop("broken")
 
 
 def accepted(files: DataFrame) -> DataFrame:

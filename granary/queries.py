@@ -8,6 +8,8 @@ SQL there.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 
 from granary.functions import documents, labels, paths, pom
 from granary.operators import content, indexes, listing, packages, snapshots
-from granary.schema import CONTENT, PACKAGES, POM
+from granary.plans.repository import Engine
+from granary.plans.settings import first_distributions
+from granary.schema import CONTENT, PACKAGES, POM, content_id
 from granary.sources import files, remote
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +227,19 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", *(found[n].alias(n) for n in ("md5", "sha1", "sha256")))
 
 
+@query()
+def digests_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests that SQL has not; tests compare them."""
+    found = documents.digests(F.col("text").cast("binary"))
+    return _table(spark, sf_dir, "documents").select("doc_id", *(found[n].alias(n) for n in ("sha224", "sha384", "sha512")))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_type <> 'view' THEN ts END, TIMESTAMP '1970-01-01 00:00:00') AS bound FROM events")
+def epoch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time bound, the epoch where there is none."""
+    return _table(spark, sf_dir, "events").select("event_id", documents.since(F.when(F.col("event_type") != "view", F.col("ts"))).alias("bound"))
+
+
 # --- snapshots
 
 
@@ -285,7 +302,7 @@ _KEYED = """k AS (SELECT o_orderkey, 'g' || cast(o_custkey % 50 AS string) AS gr
     CASE WHEN o_orderkey % 4 <> 0 THEN cast(o_custkey % 3 AS string) END AS version, o_orderstatus AS filename FROM orders)"""
 
 
-@query(f"""WITH {_KEYED} SELECT cast(b.o_orderkey AS string) AS content_id FROM k b WHERE b.o_orderkey % 2 = 0 AND EXISTS (SELECT 1 FROM k n WHERE n.o_orderkey % 11 = 1 AND n.group_id = b.group_id
+@query(f"""WITH {_KEYED} SELECT cast(b.o_orderkey AS string) AS content_id FROM k b WHERE b.o_orderkey % 2 = 0 AND EXISTS (SELECT 1 FROM k n WHERE (n.o_orderkey % 11 = 1 OR n.o_orderkey % 2 = 1) AND n.group_id = b.group_id
     AND n.artifact_id = b.artifact_id AND n.version IS NOT DISTINCT FROM b.version AND n.filename = b.filename AND n.o_orderkey <> b.o_orderkey)
     AND NOT (b.o_orderkey % 11 = 1)""")
 def dedup_by_key_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,21 +311,21 @@ def dedup_by_key_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "'artifact' AS kind", "cast(o_orderkey AS string) AS content_id", "'g' || cast(o_custkey % 50 AS string) AS group_id", "o_orderpriority AS artifact_id",
         "CASE WHEN o_orderkey % 4 <> 0 THEN cast(o_custkey % 3 AS string) END AS version", "o_orderstatus AS filename",
     )
-    return snapshots.displaced(keyed.where("o_orderkey % 2 = 0"), keyed.where("o_orderkey % 11 = 1")).select("content_id")
+    return snapshots.displaced(keyed.where("o_orderkey % 2 = 0"), keyed.where("o_orderkey % 11 = 1 OR o_orderkey % 2 = 1")).select("content_id")
 
 
 # --- packages
 
 
 _TOUCHED = f"""{_FILES}, touched AS (SELECT DISTINCT group_id, artifact_id, version FROM files WHERE p_partkey % 3 <> 0),
-    there AS (SELECT * FROM files WHERE p_partkey % 4 = 0), alive AS (SELECT DISTINCT group_id, artifact_id, version FROM there SEMI JOIN touched USING (group_id, artifact_id, version)),
+    there AS (SELECT * FROM files WHERE p_partkey % 4 = 0 OR p_partkey % 3 = 0), alive AS (SELECT DISTINCT group_id, artifact_id, version FROM there SEMI JOIN touched USING (group_id, artifact_id, version)),
     known AS (SELECT DISTINCT group_id, artifact_id, version FROM files WHERE p_partkey % 6 = 0)"""
 
 
 def _release_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _files(spark, sf_dir)
     touched = packages.affected(rows.where("p_partkey % 3 = 1"), rows.where("p_partkey % 3 = 2"))
-    return touched, packages.live_of(rows.where("p_partkey % 4 = 0"), touched), rows.where("p_partkey % 6 = 0").select(*packages.KEY).distinct()
+    return touched, packages.live_of(rows.where("p_partkey % 4 = 0 OR p_partkey % 3 = 0"), touched), rows.where("p_partkey % 6 = 0").select(*packages.KEY).distinct()
 
 
 @query(f"WITH {_TOUCHED} SELECT * FROM alive")
@@ -361,14 +378,14 @@ def pom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("group_id", "artifact_id", "version").agg(F.min("filename").alias("filename"), F.count("*").alias("n_lines"))
 
 
-def _poms(spark: SparkSession, sf_dir: str, low: int) -> DataFrame:
+def _poms(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     """(release, content): one project file for each release of some parts."""
-    rows = _table(spark, sf_dir, "part").where(f"p_partkey % 3 = {low}").selectExpr(*_columns(FILE), f"{_sql_text(_POM)} AS pom")
+    rows = _table(spark, sf_dir, "part").where(where).selectExpr(*_columns(FILE), f"{_sql_text(_POM)} AS pom")
     return rows.groupBy(*packages.KEY).agg(F.max("pom").cast("binary").alias("content"))
 
 
 @query(f"""WITH files AS (SELECT {FILE}, p_name AS name, 'http://h' || cast(p_size AS string) || '.org/' || cast(p_partkey AS string) AS url, {_POM} AS pom FROM part),
-    fresh AS (SELECT group_id, artifact_id, version, max_by(url, pom) AS url FROM files WHERE p_partkey % 3 = 1 GROUP BY ALL),
+    fresh AS (SELECT group_id, artifact_id, version, max_by(url, pom) AS url FROM files WHERE p_partkey % 3 = 1 OR p_partkey % 2 = 1 GROUP BY ALL),
     known AS (SELECT group_id, artifact_id, version, 'old' AS url FROM files WHERE p_partkey % 2 = 0 GROUP BY ALL)
     SELECT coalesce(k.group_id, n.group_id) AS group_id, coalesce(k.artifact_id, n.artifact_id) AS artifact_id, coalesce(k.version, n.version) AS version,
         CASE WHEN k.url IS NULL OR (n.url IS NOT NULL AND suffix(k.version, '-SNAPSHOT')) THEN n.url ELSE k.url END AS url
@@ -377,7 +394,7 @@ def package_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert if absent; only snapshots are refreshed."""
     known = _files(spark, sf_dir).where("p_partkey % 2 = 0").select(*packages.KEY).distinct()
     known = known.withColumns({n: F.lit(None).cast(POM[n].dataType) for n in POM.names}).withColumn("url", F.lit("old")).withColumn("content_id", packages.content_id("package")).select(*PACKAGES.names)
-    fresh = packages.upserted(_poms(spark, sf_dir, 1), known)
+    fresh = packages.upserted(_poms(spark, sf_dir, "p_partkey % 3 = 1 OR p_partkey % 2 = 1"), known)
     return packages.merged(known, fresh).select("group_id", "artifact_id", "version", "url")
 
 
@@ -468,10 +485,12 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.described(rows, spark.createDataFrame([], CONTENT))
 
 
-@query(f"""WITH paths AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 13 = 0 THEN '/' || p_name ELSE path END AS relative_path FROM (SELECT p_partkey, p_size, p_name, {_PATH} FROM part))
-    SELECT relative_path, CASE WHEN starts_with(relative_path, '/') THEN 'absolute path' WHEN suffix(relative_path, '/maven-metadata.xml') AND p_size % 4 = 0 THEN 'index document is not valid XML'
-        ELSE 'artifact without a version' END AS reason FROM paths
-    WHERE starts_with(relative_path, '/') OR (suffix(relative_path, '/maven-metadata.xml') AND p_size % 4 = 0) OR NOT contains(relative_path, '/') OR relative_path = '.meta/prefixes.txt'""")
+@query(f"""WITH paths AS (SELECT p_size, p_type, CASE WHEN p_partkey % 13 = 0 THEN '/' || p_name ELSE path END AS relative_path FROM (SELECT p_partkey, p_size, p_type, p_name, {_PATH} FROM part)),
+    judged AS (SELECT relative_path, sha256(CASE WHEN p_size % 4 = 0 THEN '<broken>' ELSE '<metadata><groupId>org.' || lower(p_type) || '</groupId><artifactId>log4j</artifactId></metadata>' END) AS sha256,
+        CASE WHEN starts_with(relative_path, '/') THEN 'absolute path' WHEN suffix(relative_path, '/maven-metadata.xml') AND p_size % 4 = 0 THEN 'index document is not valid XML'
+        WHEN NOT contains(relative_path, '/') OR relative_path = '.meta/prefixes.txt' THEN 'artifact without a version' END AS reason FROM paths),
+    firsts AS (SELECT relative_path, min(sha256) AS first FROM judged WHERE reason IS NULL GROUP BY relative_path)
+    SELECT relative_path, coalesce(reason, 'second body of a path') AS reason FROM judged LEFT JOIN firsts USING (relative_path) WHERE reason IS NOT NULL OR sha256 <> first""")
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are refused, with the reason."""
     return content.quarantined(_described(spark, sf_dir))
@@ -498,20 +517,22 @@ def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_content(spark: SparkSession, sf_dir: str, where: str, sha: str) -> DataFrame:
-    rows = _files(spark, sf_dir).where(where).withColumns({"kind": F.lit("artifact"), "sha256": F.expr(sha), "content_id": F.concat_ws("|", "group_id", "artifact_id", "version", "filename")})
-    rows = rows.groupBy("content_id", "kind", "domain", "group_id", "artifact_id", "version", "filename").agg(F.max("sha256").alias("sha256"))
+    rows = _files(spark, sf_dir).where(where).withColumns({"kind": F.lit("artifact"), "sha256": F.expr(sha)})
+    rows = rows.groupBy("kind", "domain", "group_id", "artifact_id", "version", "filename").agg(F.max("sha256").alias("sha256")).withColumn("content_id", content_id("artifact"))
     return rows.withColumn("relative_path", F.lit(None).cast("string")).withColumn("labels", F.lit(None).cast("map<string,string>")).select(*CONTENT.names)
 
 
-@query(f"""WITH {_FILES}, c AS (SELECT *, group_id || '|' || artifact_id || '|' || version || '|' || filename AS content_id FROM files),
-    known AS (SELECT content_id, version, max(CASE WHEN p_partkey % 4 = 0 THEN 'old' END) AS sha256 FROM c WHERE p_partkey % 2 = 0 GROUP BY ALL),
-    fresh AS (SELECT content_id, version, 'new' AS sha256 FROM c WHERE p_partkey % 3 = 0 GROUP BY ALL)
-    SELECT content_id, CASE WHEN k.content_id IS NULL THEN 'new' WHEN n.sha256 IS NOT NULL AND (k.sha256 IS NULL OR suffix(k.version, '-SNAPSHOT')) THEN 'new' ELSE k.sha256 END AS sha256
-    FROM known k FULL JOIN fresh n USING (content_id)""")
+@query(f"""WITH {_FILES}, k AS (SELECT group_id, artifact_id, version, filename, max(CASE WHEN p_partkey % 4 = 0 THEN 'old' END) AS sha256 FROM files WHERE p_partkey % 2 = 0 GROUP BY ALL),
+    n AS (SELECT DISTINCT group_id, artifact_id, version, filename, 'new' AS sha256 FROM files WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 1),
+    release AS (SELECT coalesce(k.group_id, n.group_id) AS group_id, coalesce(k.filename, n.filename) AS filename, coalesce(k.version, n.version) AS version, coalesce(k.sha256, n.sha256) AS sha256
+        FROM k FULL JOIN n ON (k.group_id, k.artifact_id, k.version, k.filename) = (n.group_id, n.artifact_id, n.version, n.filename))
+    SELECT group_id, filename, version, sha256 FROM release WHERE NOT suffix(version, '-SNAPSHOT')
+    UNION ALL SELECT group_id, filename, version, sha256 FROM (SELECT * FROM k UNION ALL SELECT * FROM n) WHERE suffix(version, '-SNAPSHOT')""")
 def insert_or_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First writer wins; missing blobs are filled and snapshots take the latest."""
+    """First writer wins and missing blobs are filled; another file of a snapshot is other content."""
     known = _keyed_content(spark, sf_dir, "p_partkey % 2 = 0", "CASE WHEN p_partkey % 4 = 0 THEN 'old' END")
-    return content.saved(known, _keyed_content(spark, sf_dir, "p_partkey % 3 = 0", "'new'")).select("content_id", "sha256")
+    new = _keyed_content(spark, sf_dir, "p_partkey % 3 = 0 OR p_partkey % 2 = 1", "'new'")
+    return content.saved(known, new).select("group_id", "filename", "version", "sha256")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-30 18:00:00')""")
@@ -578,10 +599,151 @@ def row_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS n, min(p_partkey) AS p_partkey FROM files SEMI JOIN one USING (group_id, artifact_id, version, filename)""")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files at one path, found by its parts."""
-    rows = _files(spark, sf_dir)
-    one = rows.where("p_partkey = 7").select(F.concat_ws("/", paths.group_path(F.col("group_id")), "artifact_id", "version", "filename").alias("path"))
-    parts = one.select(paths.path_parts(F.col("path")).alias("p")).select("p.*")
-    return snapshots.matching(rows, parts, ["group_id", "artifact_id", "version", "filename"]).agg(F.count("*").alias("n"), F.min("p_partkey").alias("p_partkey"))
+    rows = _files(spark, sf_dir).withColumn("kind", F.lit("artifact"))
+    path = rows.where("p_partkey = 7").select(F.concat_ws("/", paths.group_path(F.col("group_id")), "artifact_id", "version", "filename")).first()[0]
+    return listing.at_path(path, rows).agg(F.count("*").alias("n"), F.min("p_partkey").alias("p_partkey"))
+
+
+_ONE_PATH = "'org.' || lower(p_type) AS group_id, replace(p_name, ' ', '-') AS artifact_id, cast(p_partkey AS string) || '.0' AS version, 'f.jar' AS filename"
+
+
+@query(f"SELECT p_partkey, group_id, artifact_id, version FROM (SELECT p_partkey, {_ONE_PATH} FROM part) WHERE p_partkey = 8")
+def path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one content of a snapshot at a path; it is an error if there is none or another."""
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", "'artifact' AS kind", "cast(p_partkey AS string) AS content_id", *_columns(_ONE_PATH))
+    path = rows.where("p_partkey = 8").select(F.concat_ws("/", paths.group_path(F.col("group_id")), "artifact_id", "version", "filename")).first()[0]
+    members = rows.where("p_partkey % 4 = 0").select("kind", "content_id")
+    return listing.lookup(path, rows, members).select("p_partkey", "group_id", "artifact_id", "version")
+
+
+@query(f"WITH {_STAYS} SELECT o_orderkey, o_totalprice FROM orders WHERE cast(o_orderkey AS string) IN (SELECT content_id FROM stays WHERE {_AT.format(n=4)})")
+def snapshot_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the content that is in a snapshot."""
+    rows = _table(spark, sf_dir, "orders").withColumn("content_id", F.col("o_orderkey").cast("string"))
+    return listing.in_snapshot(rows, snapshots.snapshot(_events(spark, sf_dir), "r", 4)).select("o_orderkey", "o_totalprice")
+
+
+@query(f"WITH {_STAYS} SELECT content_id FROM stays WHERE {_AT.format(n=5)}")
+def snapshot_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot from an earlier one that is kept whole, and the events since."""
+    events = _events(spark, sf_dir)
+    return snapshots.resumed(snapshots.snapshot(events, "r", 3), events.where("version > 3 AND version <= 5")).select("content_id")
+
+
+@query(f"WITH {_STAYS} SELECT content_id FROM stays WHERE {_AT.format(n=5)}")
+def snapshot_by_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.at_version(snapshots.intervals(_events(spark, sf_dir)), 5).select("content_id")
+
+
+@query(f"WITH {_FILES} SELECT p_partkey, group_id, version FROM files JOIN part USING (p_partkey) WHERE p_name = 'red widget' AND p_type = 'ECONOMY' AND artifact_id = 'red-widget'")
+def package_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages by name, packaging and artifact."""
+    rows = _files(spark, sf_dir, "p_name AS name", "p_type AS packaging")
+    return listing.filtered(rows, "package", name="red widget", packaging="ECONOMY", artifact_id="red-widget").select("p_partkey", "group_id", "version")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'")
+def domain_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one tenant; an order's priority is its domain."""
+    return listing.of_domain(_table(spark, sf_dir, "orders").withColumn("domain", F.col("o_orderpriority")), "2-HIGH").select("o_orderkey")
+
+
+@query(f"WITH {_FILES} SELECT cast(p_partkey AS string) AS content_id, group_id, artifact_id, version, filename FROM files")
+def shown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.shown(_files(spark, sf_dir).withColumn("content_id", F.col("p_partkey").cast("string")), "artifact")
+
+
+@query(f"WITH {_FILES} SELECT p_partkey, group_id FROM files WHERE p_partkey > 50 ORDER BY p_partkey LIMIT 20")
+def page_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind a key, without sorting the pages before it."""
+    return listing.page_after(_files(spark, sf_dir), "p_partkey", 50, 20).select("p_partkey", "group_id")
+
+
+@query("SELECT c_mktsegment AS repository, min(c_name) AS name FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY c_mktsegment")
+def first_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first distribution, by name, of each repository; some serve none."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("'d' AS domain", "c_name AS name", "CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS repository")
+    return first_distributions(rows).select("repository", "name")
+
+
+# --- verbs of an engine, in a folder of their own
+
+
+def _engine(spark: SparkSession) -> Engine:
+    """An empty engine in the shared folder of the session; a local session may have none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='granary-')}"
+    return Engine(spark, f"{base.rstrip('/')}/engines/{uuid.uuid4().hex}")
+
+
+def _paths(spark: SparkSession, sf_dir: str, body: str, where: str = "true") -> DataFrame:
+    path = F.concat_ws("/", paths.group_path(F.col("group_id")), "artifact_id", "version", "filename")
+    return _files(spark, sf_dir).where(where).select(path.alias("relative_path"), F.expr(body).cast("binary").alias("content")).distinct()
+
+
+_PLACED = f"{_FILES}, placed AS (SELECT DISTINCT replace(group_id, '.', '/') || '/' || artifact_id || '/' || version || '/' || filename AS relative_path, version FROM files)"
+
+
+@query(f"""WITH {_PLACED} SELECT 1 AS at, relative_path, sha256('one') AS sha256 FROM placed
+    UNION ALL SELECT 2, relative_path, sha256(CASE WHEN suffix(version, '-SNAPSHOT') THEN 'two' ELSE 'one' END) FROM placed""")
+def snapshot_redeploy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files are deployed twice, with another body the second time: a new version in which
+    snapshot files are replaced and releases stay, while version 1 keeps its own."""
+    repo = _engine(spark).repository("r")
+    for body in ("'one'", "'two'"):
+        repo.deploy(_paths(spark, sf_dir, body), derive=False)
+    rows = [repo.content("artifact", v).select(F.lit(v).alias("at"), "relative_path", "sha256") for v in (1, 2)]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"""WITH {_PLACED}, b AS (SELECT sha256(relative_path) AS sha256, cast(strlen(relative_path) AS bigint) AS size FROM placed) SELECT sha256, size, count(*) AS n FROM b GROUP BY ALL""")
+def blob_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that are uploaded twice are kept once; the second upload appends none."""
+    engine = _engine(spark)
+    files = _paths(spark, sf_dir, "concat_ws('/', replace(group_id, '.', '/'), artifact_id, version, filename)").withColumn("domain", F.lit("d"))
+    for _ in range(2):
+        engine.upload(files, parse_poms=False)
+    return engine.store.read("blobs").groupBy("sha256", "size").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_PLACED} SELECT relative_path, 'brand=' || string_split(relative_path, '/')[2] || ',type=' || CASE WHEN suffix(relative_path, '.pom') THEN 'pom' ELSE 'file' END AS labels FROM placed""")
+def upload_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels given as a JSON object with each file."""
+    files = _paths(spark, sf_dir, "'x'").withColumn("domain", F.lit("d"))
+    kind = F.when(F.endswith("relative_path", F.lit(".pom")), F.lit("pom")).otherwise("file")
+    files = files.withColumn("labels", F.to_json(F.struct(kind.alias("type"), F.split("relative_path", "/")[1].alias("brand"))))
+    shown = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return _engine(spark).upload(files, parse_poms=False).select("relative_path", F.array_join(shown, ",").alias("labels"))
+
+
+@query(f"""WITH {_PLACED}
+    SELECT 'add' AS op, 1 AS version, count(*) AS n FROM placed UNION ALL SELECT 'remove', 2, count(*) FROM placed WHERE suffix(version, '-SNAPSHOT')""")
+def version_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of two versions: all files come, then the snapshots' files go."""
+    repo = _engine(spark).repository("r")
+    repo.deploy(_paths(spark, sf_dir, "'x'"), derive=False)
+    gone = repo.content("artifact").where(paths.is_snapshot(F.col("version")))
+    repo.modify(remove=gone.select("kind", "content_id"), derive=False)
+    return repo.store.read("events").groupBy("op", F.col("version").cast("int").alias("version")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_TOUCHED} SELECT 'add' AS op, a.group_id, a.artifact_id, a.version FROM alive a WHERE EXISTS (SELECT 1 FROM known k WHERE (k.group_id, k.artifact_id, k.version) = (a.group_id, a.artifact_id, a.version))
+        OR EXISTS (SELECT 1 FROM there t WHERE (t.group_id, t.artifact_id, t.version) = (a.group_id, a.artifact_id, a.version) AND t.filename = t.artifact_id || '-' || t.version || '.pom')
+    UNION ALL SELECT 'remove', group_id, artifact_id, version FROM (SELECT group_id, artifact_id, version FROM touched EXCEPT SELECT * FROM alive)""")
+def packages_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change of artifacts asks of the packages: releases whose package is there, old or
+    made from a project file, and those whose package goes."""
+    rows = _files(spark, sf_dir, "sha2(cast(p_partkey AS string), 256) AS sha256", "p_name AS name")
+    known = rows.where("p_partkey % 6 = 0").select(*packages.KEY).distinct().withColumns({n: F.lit(None).cast(POM[n].dataType) for n in POM.names}).withColumn("content_id", content_id("package")).select(*PACKAGES.names)
+    blobs = rows.select("domain", "sha256", F.format_string("<project><name>%s</name></project>", "name").cast("binary").alias("content"))
+    there = rows.where("p_partkey % 4 = 0 OR p_partkey % 3 = 0")
+    fresh, ids, dead = packages.maintained(rows.where("p_partkey % 3 = 1"), rows.where("p_partkey % 3 = 2"), there, known, blobs)
+    named = known.unionByName(fresh).select("content_id", "group_id", "artifact_id", "version").distinct()
+    alive = named.join(ids.distinct(), "content_id", "left_semi").drop("content_id").withColumn("op", F.lit("add"))
+    return alive.unionByName(dead.drop("domain").withColumn("op", F.lit("remove"))).select("op", "group_id", "artifact_id", "version")
 
 
 # --- strings and JSON
@@ -596,9 +758,10 @@ def resolve_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name AS name, CAST(NULL AS varchar) AS url FROM part")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = POM["licenses"].dataType
-    rows = _table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.array(F.struct(F.col("p_name").alias("name"), F.lit(None).cast("string").alias("url")))).alias("j"))
-    back = F.from_json("j", kind)[0]
+    """Licenses of a package as JSON and back."""
+    licenses = F.array(F.struct(F.col("p_name").alias("name"), F.lit(None).cast("string").alias("url")))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", pom.as_json(licenses).alias("j"))
+    back = pom.from_json(F.col("j"), "licenses")[0]
     return rows.select("p_partkey", back["name"].alias("name"), back["url"].alias("url"))
 
 

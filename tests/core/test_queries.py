@@ -16,7 +16,16 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(core.QUERIES))
+def test_wide_digests(spark, tables):
+    import hashlib
+
+    texts = dict(tables.sql("SELECT doc_id, text FROM documents").fetchall())
+    for r in core.QUERIES["digests_wide"](spark, SF).collect():
+        body = texts[r["doc_id"]]
+        assert [r[n] for n in ("sha224", "sha384", "sha512")] == [None if body is None else hashlib.new(n, body.encode()).hexdigest() for n in ("sha224", "sha384", "sha512")]
+
+
+@pytest.mark.parametrize("name", sorted(core.ORACLES))
 def test_query(spark, tables, name):
     got = core.QUERIES[name](spark, SF)
     want = tables.sql(core.ORACLES[name])
