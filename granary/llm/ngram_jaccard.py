@@ -413,12 +413,12 @@ def _classified(docs: DataFrame) -> DataFrame:
     sized = spread_join(found, sizes, ["root"], "size", found.count())
     wanted = sized.join(classes.select(F.col("rep").alias("node"), "copies", "same"), "node").select(F.col("node").alias("rep"), "same.doc_id", "same.sha", F.col("root").alias("comp"), "size", "copies")
     checked = written(_verified(docs, written(wanted, "wanted")), "verified")
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = checked.where("whole").select("rep", "root")
+    linked = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
     parts = checked.where(~F.col("whole") & (F.col("rep") != F.col("root"))).select(F.col("rep").alias("a"), F.col("root").alias("b"))
     if not parts.isEmpty():
-        roots = roots.unionByName(components(parts).select(F.col("node").alias("rep"), "root"))
-    linked = written(links.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "links")
+        joined = written(components(parts).select(F.col("node").alias("rep"), F.col("root").alias("part_root")), "part-roots")
+        linked = linked.join(joined, "rep", "left").withColumn("root", F.coalesce("part_root", "root")).drop("part_root")
+    linked = written(linked.withColumn("root", F.coalesce("root", "rep")), "links")
     members = linked.select("rep", "root").join(classes.select("rep", "same"), "rep")
     firsts = members.groupBy("root").agg(F.min("same").alias("first"), F.count("*").alias("size"))
     firsts = spread_join(linked, firsts, ["root"], "size", linked.count()).select("rep", "links", "first")
