@@ -178,12 +178,15 @@ def _chunks(size: str) -> F.Column:
 
 def _blocks(df: DataFrame, group: str, size: str, member: str) -> DataFrame:
     """Deals the rows of a group of `size` members into pairs of chunks: adds blk (the pair),
-    side (0 or 1, the row's chunk in it; -1 where the pair is one chunk with itself) and whole,
-    true where the group is one chunk."""
+    side (0 or 1, the row's chunk in it; -1 where the pair is one chunk with itself), whole, true
+    where the group is one chunk, and part, a number that neighbouring pairs of a group do not
+    share, so a large group's pairs go to as many tasks as there are."""
     own = F.pmod(F.xxhash64(member), F.col("__q")).cast("int")
     dealt = df.withColumn("__q", _chunks(size)).withColumn("__own", own).withColumn("__other", F.explode(F.when(F.col("__q") > 1, F.sequence(F.lit(0), F.col("__q") - 1)).otherwise(F.array(F.lit(0)))))
     low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
-    return dealt.withColumns({"blk": low.cast("long") * F.lit(1 << 31) + high, "side": F.when(low == high, -1).when(F.col("__own") == low, 0).otherwise(1).cast("int"), "whole": F.col("__q") == 1}).drop("__q", "__own", "__other")
+    place = low * F.col("__q") - F.floor(low * (low - 1) / 2) + high - low
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumns({"part": F.pmod(F.pmod(F.xxhash64(group), F.lit(n)) + place, F.lit(n)).cast("int"), "blk": low.cast("long") * F.lit(1 << 31) + high, "side": F.when(low == high, -1).when(F.col("__own") == low, 0).otherwise(1).cast("int"), "whole": F.col("__q") == 1}).drop("__q", "__own", "__other")
 
 
 def _pairs(side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -245,7 +248,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     rows = written(spread_rows, "bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     shared = spread_join(rows, sizes, ["bucket"], "size", rows.count()).join(reps.select("rep", "sig"), "rep")
-    dealt = _blocks(shared, "bucket", "size", "rep").select("bucket", "blk", "band", "side", "rep", "sig")
+    dealt = _blocks(shared, "bucket", "size", "rep").select("part", "bucket", "blk", "band", "side", "rep", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _groups(batches, ["bucket", "blk"]):
@@ -284,7 +287,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"])
 
     n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(n, "bucket", "blk").sortWithinPartitions("bucket", "blk", "rep").mapInArrow(run, _EDGE)
+    return dealt.repartitionById(n, "part").sortWithinPartitions("bucket", "blk", "rep").mapInArrow(run, _EDGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -366,7 +369,7 @@ def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     wanted = candidates.select("rep", F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
     texts = own.join(near(wanted), own["doc_id"].eqNullSafe(wanted["__id"]) & (own["sha"] == wanted["__sha"])).select("rep", "text").mapInArrow(sets, schema)
     joined = texts.join(near(candidates.select("rep", "comp", "size", "copies")), "rep")
-    dealt = _blocks(joined, "comp", "size", "rep").select("comp", "blk", "side", "whole", "rep", "copies", "shingles")
+    dealt = _blocks(joined, "comp", "size", "rep").select("part", "comp", "blk", "side", "whole", "rep", "copies", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _groups(batches, ["comp", "blk"]):
@@ -392,7 +395,7 @@ def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[alone]) for x in (rep, links, root, whole)], names=["rep", "links", "root", "whole"])
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(n, "comp", "blk").sortWithinPartitions("comp", "blk", "rep").mapInArrow(run, _VERIFIED)
+    return dealt.repartitionById(n, "part").sortWithinPartitions("comp", "blk", "rep").mapInArrow(run, _VERIFIED)
 
 
 def _first() -> F.Column:
