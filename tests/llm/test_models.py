@@ -485,3 +485,28 @@ def test_pipeline(spark):
 
     library = Codec(PIECES).library
     assert all(rows[i] == [*library.encode(texts[i]), 2] for i in clean)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, a repeated row, odd texts; what each stage decides is worked out by
+    hand. An empty table gives an empty result."""
+    import corpus_pipeline
+    from granary.llm.sentence_pieces import Codec
+
+    pick = random.Random(25)
+    text = lambda: " ".join(f"w{pick.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    passage = " ".join(e.split()[:20])
+    rows = [(1, a), (1, b), (2, a + " tail"), (2, a + " tail"), (None, c), (None, d), (3, e), (4, None), (5, ""), (6, "short"), (None, c), (7, "x" * 50_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None if i is None else "en", None, len(t or "")) for i, t in rows], schema)
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # the last four are too short; 2 is near 1's first text; one null row repeats; 3 is contaminated
+    library = Codec(PIECES).library
+    want = [(1, a), (1, b), (None, c), (None, d)]
+    assert sorted(((r["doc_id"], r["ids"]) for r in got), key=repr) == sorted(((i, [*library.encode(t), 2]) for i, t in want), key=repr)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
