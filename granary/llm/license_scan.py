@@ -10,10 +10,12 @@ that is close enough is a licence file and licenses its directory. A
 document without a header takes the license of the nearest directory above it that has one,
 found by joins of distinct directories with their ancestors.
 
-Weights are term frequency times inverse document frequency, for all words alike. Words are known
-by hash; their documents are counted in an aggregate over all texts. The commonest words, COMMON at
-most, and those of the templates reach the driver and are broadcast; rarer ones weigh as the
-rarest of these do, so with up to COMMON different words every weight is exact.
+Weights are term frequency times inverse document frequency, for all words alike, template words
+too. Words are known by hash; their documents are counted in an aggregate over all texts. A word
+that makes up less than a share of one in COMMON of all (word, document) pairs weighs as one that
+makes up that share. The share does not depend on the size of the table, so cosines mean the same
+on a small and on a large one, and fewer than COMMON words lie above it, which reach the driver and
+are broadcast. Where there are fewer pairs than COMMON, every word has its own weight.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from granary.llm._joins import spread_join
 from granary.llm._store import written
 
 HEADER_COSINE, FILE_COSINE = 0.6, 0.75
-#: Words with a document frequency of their own, at most; template words are added to them.
-COMMON = 1 << 17
+#: Words of a smaller part of all (word, document) pairs than one in COMMON weigh alike.
+COMMON = 1 << 18
 #: Whole texts are scored in blocks of so many, which bounds their matrix of counts.
 FILE_BLOCK = 128
 
@@ -123,7 +125,7 @@ class Weights:
     """Inverse document frequencies of words by hash."""
 
     def __init__(self, total: int, keys: np.ndarray, counts: np.ndarray, least: int) -> None:
-        """Documents of the words `keys` (sorted) and of all others, `least`."""
+        """Documents of the words `keys` (sorted), and `least`, as all others weigh."""
         self.keys, idf = keys, lambda n: np.log((1 + total) / (1 + n)) + 1
         self.values, self.rare = idf(counts.astype(float)), float(idf(float(least)))
         self.coarse = np.zeros(1 << 20, bool)
@@ -138,7 +140,7 @@ class Weights:
         return out
 
 
-def document_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> Weights:
+def document_frequencies(docs: DataFrame) -> Weights:
     """Weights from the numbers of documents that hold each word."""
     schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -171,24 +173,12 @@ def document_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> W
         if kept:
             yield batch(*summed())
 
-    total = docs.count()
     counted = written(docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    # counts by steps of a sixteenth of a power of two: the lowest step from which on words fit
-    step = F.floor(16 * F.log2("n")).cast("int")
-    steps = sorted(((r["step"], r["words"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    lowest, words = (steps[0][0] + 1 if steps else 0), 0
-    for at, n in steps:
-        words += n
-        if words > COMMON:
-            break
-        lowest = at
-    own = Vocabulary(templates).hashes().view(np.int64)
-    template = docs.sparkSession.createDataFrame([(int(x),) for x in own], "word long")
-    found = counted.where(step >= lowest).unionByName(counted.where(step < lowest).join(F.broadcast(template), "word", "left_semi")).toArrow()
+    least = (counted.agg(F.sum("n")).first()[0] or 0) // COMMON
+    found = counted.where(F.col("n") > least).toArrow()  # fewer than COMMON words, as each has over a COMMON-th of all pairs
     keys, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(keys)
-    whole = words <= COMMON
-    return Weights(total, keys[order], n[order], 0 if whole else int(2 ** (lowest / 16)))
+    return Weights(docs.count(), keys[order], n[order], least)
 
 
 class Scorer:
@@ -311,7 +301,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     lines that are headers or hold one, and, of a licence file, its license and cosine. Null texts
     have none."""
     files = templates + full_texts()
-    weights = document_frequencies(docs, files)
+    weights = document_frequencies(docs)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -439,17 +439,22 @@ def test_licenses_equal_brute_force(spark):
     assert twice.where("count = 2").count() == len(rows)
 
 
-def test_rare_words_weigh_as_the_rarest_that_are_kept(spark, monkeypatch):
-    monkeypatch.setattr(license_scan, "COMMON", 5)
-    texts = ["common " * (i % 3) + " ".join(f"word{j}" for j in range(i % 40)) + f" only{i}" for i in range(200)]
-    weights = license_scan.document_frequencies(documents(spark, texts), [("A", "alpha word3")])
-    _, words, hashes = license_scan.Vocabulary([("A", "alpha word3")]).find(*_text.utf8(pa.array(["common word0 alpha word3 only5 never"])))
+def test_words_below_a_share_of_all_pairs_weigh_as_that_share(spark, monkeypatch):
+    """The same words are below it in a table of any size, and fewer than COMMON are above."""
     from math import log
 
-    idf = lambda n: log(201 / (1 + n)) + 1
-    got = weights.of(hashes).tolist()
-    assert len(weights.keys) <= 7 and abs(got[1] - idf(sum(i % 40 > 0 for i in range(200)))) < 1e-9
-    assert got[3] == idf(sum(i % 40 > 3 for i in range(200))) and got[4] == got[5] == weights.rare > got[1]
+    monkeypatch.setattr(license_scan, "COMMON", 40)
+    texts = ["common " * (i % 3) + " ".join(f"word{j}" for j in range(i % 40)) + f" only{i}" for i in range(200)]
+    probe = "common word0 word20 word39 only5 never"
+    for times in (1, 3):
+        rows = texts * times
+        held = collections.Counter(w for t in rows for w in {*t.split()})
+        least = held.total() // 40
+        weights = license_scan.document_frequencies(documents(spark, rows))
+        _, _, hashes = license_scan.Vocabulary([("A", "alpha")]).find(*_text.utf8(pa.array([probe])))
+        assert np.allclose(weights.of(hashes), [log((1 + len(rows)) / (1 + max(held[w], least))) + 1 for w in probe.split()])
+        assert len(weights.keys) == sum(n > least for n in held.values()) < 40
+        assert least > times and sorted(w for w in probe.split() if held[w] > least) == ["common", "word0"]
 
 
 # --- pipeline
