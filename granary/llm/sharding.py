@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm._joins import spread_join
 from granary.llm._store import written
 
 CHUNK = 1 << 16
@@ -156,7 +157,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     placed = written(assign_groups(written(groups, "groups"), shards).select(*key, "n", "shard"), "placed")
     rows = placed.agg(F.sum("n")).first()[0] or 0
     blocks = max(8, -(-rows // (shards * SLOT_ROWS)))
-    dealt = written(sized.join(placed.drop("n"), key).withColumn("block", F.pmod(F.xxhash64("doc_id", *key), F.lit(blocks)).cast("int")), "dealt")
+    dealt = written(spread_join(sized, placed, key, "n", rows).drop("n").withColumn("block", F.pmod(F.xxhash64("doc_id", *key), F.lit(blocks)).cast("int")), "dealt")
     counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("in_block"))
     starts = counts.select("shard", "block", (F.sum("in_block").over(Window.partitionBy("shard").orderBy("block")) - F.col("in_block")).alias("before"))
     number = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", *key))
