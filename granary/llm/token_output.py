@@ -41,6 +41,9 @@ SEGMENT_IDS = 1 << 22
 NULL_ID = -(2**63)
 #: Boundaries that a reader selects at once.
 READ_DOCS = 4096
+#: Text of one writing task, and segments of one reading task, about.
+PART_BYTES = 1 << 30
+READ_SEGMENTS = 64
 
 
 # --- Elias-Fano -----------------------------------------------------------------------------
@@ -313,12 +316,14 @@ class WordEncoder:
         return starts[order], ends[order], whole[order], data
 
 
-_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
 
 def encode(docs: DataFrame, file: str, end_id: int | None = None, borders: tuple[int, ...] = ()) -> DataFrame:
-    """(doc_id, part, width, ids binary: little-endian, `width` bytes each) of every row. A null
-    text has the end id alone. The part is the number of borders below doc_id, 0 for null."""
+    """(doc_id, part, place, width, ids binary: little-endian, `width` bytes each) of every row. A
+    null text has the end id alone. The place is a hash of the text. The part is the number of
+    borders below doc_id, a null being the least; a doc_id that is n borders has n parts, by
+    ranges of the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(file)
@@ -332,10 +337,13 @@ def encode(docs: DataFrame, file: str, end_id: int | None = None, borders: tuple
             ends = np.concatenate([[0], width * np.cumsum(counts)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
             own = _text.column(rows, "doc_id")
-            part = np.searchsorted(limits, own.fill_null(NULL_ID).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([own, pa.array(part), pa.array(np.full(len(counts), width, np.int32)), packed], names=_ENCODED.names)
+            number, place = own.fill_null(NULL_ID).to_numpy(zero_copy_only=False), _text.column(rows, "place")
+            part, above = np.searchsorted(limits, number, "left"), np.searchsorted(limits, number, "right")
+            share = (place.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of places
+            part += (share * np.maximum(above - part, 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([own, pa.array(part.astype(np.int32)), place, pa.array(np.full(len(counts), width, np.int32)), packed], names=_ENCODED.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text").mapInArrow(run, _ENCODED)
 
 
 # --- writing and reading --------------------------------------------------------------------
@@ -347,18 +355,23 @@ def write(docs: DataFrame, file: str, end_id: int | None = None, segment_ids: in
     """Encodes and writes `docs`; returns the folder and its manifest (name, start, n_docs, n_ids),
     one row for each segment file, start being the ids of all segments before it.
 
-    Documents are dealt by ranges of doc_id, whose borders are quantiles found from the ids
-    alone, so nothing is encoded twice or kept between. Segments in the order of their names hold
-    the ids in ascending doc_id order (null first, equal doc_ids in the order of their bytes).
-    Every task streams its sorted rows and holds one segment at a time.
+    Documents are dealt by ranges of doc_id, about PART_BYTES of text each, whose borders are
+    quantiles found from the ids alone, so nothing is encoded twice or kept between. A doc_id that
+    many rows have, null among them, is as many borders as it fills ranges, and its rows are dealt
+    over these by their texts' hashes (a doc_id beyond 2**53 other than null stays in one range).
+    Segments in the order of their names hold the ids in ascending doc_id order (null first, equal
+    doc_ids in the order of these hashes, then of their bytes). Every task streams its sorted rows
+    and holds one segment at a time. An empty table gives no segment; other columns are ignored.
     """
     spark = docs.sparkSession
     where = folder(spark, "segments")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    borders = sorted({int(x) for x in own.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // PART_BYTES))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))
+    quantiles = own.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    borders = sorted(min(int(x), 2**63 - 1) for x in quantiles)
     dealt = encode(docs, file, end_id, tuple(borders))
-    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("doc_id", "place", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -435,5 +448,5 @@ def read(where: str, manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark = manifest.sparkSession
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count() // READ_SEGMENTS)
     return manifest.repartition(tasks, "name").mapInArrow(run, _READ)

@@ -81,6 +81,24 @@ def test_written_files(spark):
     assert manifest.count() > 5
 
 
+def test_rows_of_one_doc_id_are_dealt_over_parts(spark, monkeypatch):
+    """A third of the rows has no doc_id and a fourth has one; all stay, in order."""
+    monkeypatch.setattr(token_output, "PART_BYTES", 400)
+    rows = [(None, f"nobody {i}") for i in range(200)] + [(7, f"seven {i}") for i in range(150)] + [(i, f"own {i}") for i in range(-100, 150)] + [(2**63 - 1, "last"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    where, manifest = token_output.write(docs, WORDS, end_id=2)
+    got = token_output.read(where, manifest).orderBy("start").collect()
+    library = token_output.WordEncoder(WORDS).library
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    want = [(i, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for i, t in rows]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=key) == sorted(want, key=key)
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert order == sorted(order) and [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    most = manifest.agg({"n_docs": "max"}).first()[0]
+    assert most < 100  # so 200 rows without a doc_id lie in more than two segments, of a part each
+
+
 def test_output_of_odd_and_empty_tables(spark):
     assert token_output.read(*token_output.write(odd_documents(spark), WORDS, 2)).count() == N_ODD
     assert token_output.read(*token_output.write(documents(spark, ["x"]).limit(0), WORDS, 2)).count() == 0
