@@ -93,21 +93,41 @@ def resolve(text: str, values: dict[str, str]) -> str:
     return text
 
 
+#: What becomes of a field's text: an empty one is null, it stays as it is, or it is compared.
+OR_NULL, AS_IS, IS_TRUE = (lambda text: text or None), str, "true".__eq__
+
+#: The fields of a record: (field, path of elements, value where there is none, what becomes of
+#: it). Those of LISTED are arrays of records, one for each element of a name.
+FIELDS = [("name", ("name",), "", OR_NULL), ("description", ("description",), "", OR_NULL), ("packaging", ("packaging",), "jar", OR_NULL), ("url", ("url",), "", OR_NULL), ("scm_url", ("scm", "url"), "", OR_NULL)]
+LISTED = {
+    "licenses": ("license", [("name", ("name",), "", AS_IS), ("url", ("url",), "", AS_IS)]),
+    "dependencies": ("dependency", [
+        ("group_id", ("groupId",), "", AS_IS), ("artifact_id", ("artifactId",), "", AS_IS), ("version", ("version",), "", AS_IS), ("scope", ("scope",), "", OR_NULL), ("optional", ("optional",), "", IS_TRUE),
+    ]),
+}
+
+
+def record(node: Node, fields: list[tuple], values: dict[str, str]) -> dict:
+    """A record of `fields` below a node."""
+    out: dict = {}
+    for field, (*above, name), default, become in fields:
+        at: Node | None = node
+        for step in above:
+            at = at.first(step) if at else None
+        out[field] = become(resolve(at.value(name, default), values) if at else "")
+    return out
+
+
 def pom_fields(body: bytes | str | None) -> dict | None:
     """The record of a project file; null if it cannot be read."""
     root = tree(body)
     if root is None:
         return None
     values = properties(root)
-    of = lambda node, name, default="": resolve(node.value(name, default), values)
-    out: dict = {n: of(root, n) or None for n in ("name", "description", "url")} | {"packaging": of(root, "packaging", "jar") or None}
-    scm, licenses, dependencies = (root.first(n) for n in ("scm", "licenses", "dependencies"))
-    out["scm_url"] = of(scm, "url") or None if scm else None
-    out["licenses"] = None if licenses is None else [{"name": of(x, "name"), "url": of(x, "url")} for x in licenses.all("license")]
-    out["dependencies"] = None if dependencies is None else [
-        {"group_id": of(x, "groupId"), "artifact_id": of(x, "artifactId"), "version": of(x, "version"), "scope": of(x, "scope") or None, "optional": of(x, "optional") == "true"}
-        for x in dependencies.all("dependency")
-    ]
+    out = record(root, FIELDS, values)
+    for field, (element, fields) in LISTED.items():
+        block = root.first(field)
+        out[field] = None if block is None else [record(x, fields, values) for x in block.all(element)]
     return out
 
 

@@ -63,8 +63,9 @@ MAX_LENGTHS = {"group_id": 255, "artifact_id": 255, "version": 255, "filename":
 
 
 def content_id(kind: str) -> Column:
-    """The id of content of a kind, from its unique key; a null differs from an empty string."""
+    """The id of content of a kind, from its unique key. Values are written with their lengths, so
+    no two keys are written alike, whatever is in them, and a null differs from an empty string."""
     parts = [F.col(c) for c in UNIQUE_KEYS[kind]]
     if kind == ARTIFACT:  # a redeployed snapshot file is other content, so old versions keep theirs
         parts.append(F.when(F.endswith("version", F.lit(SNAPSHOT)), F.col("sha256")))
-    return F.sha2(F.concat_ws("\n", F.lit(kind), *(F.coalesce(F.concat(F.lit("="), p), F.lit("~")) for p in parts)), 256)
+    return F.sha2(F.concat_ws("\n", F.lit(kind), *(F.coalesce(F.concat(F.char_length(p).cast("string"), F.lit("="), p), F.lit("~")) for p in parts)), 256)

@@ -61,3 +61,11 @@ def test_classes_of_files_differ(spark):
     rows = ["a/maven-metadata.xml", "a/b.xml", "a/b.xml.sha512", "a/b.jar", ".meta/prefixes.txt", "maven-metadata.xml"]
     got = spark.createDataFrame([(p,) for p in rows], "p string").select("p", paths.is_metadata_path(F.col("p")), paths.is_stream_only(F.col("p"))).collect()
     assert [tuple(r)[1:] for r in got] == [(True, True), (True, False), (True, True), (False, False), (False, True), (True, False)]
+
+
+def test_no_two_keys_have_one_id(spark):
+    from granary.schema import GAV, content_id
+
+    rows = [("a", "b\n1=c", "d", "f"), ("a", "b", "c\n1=d", "f"), ("a", "b\n=c", "d", "f"), ("a", "b", None, "f"), ("a", "b", "", "f"), ("a", "b", "~", "f"), ("a\n1=b", "c", "d", "f"), ("a", "b", "c", "1=d\nf")]
+    df = spark.createDataFrame([("d", *r) for r in rows], f"domain string, {' string, '.join(GAV)} string, filename string").withColumn("sha256", F.lit("x"))
+    assert df.select(content_id("artifact")).distinct().count() == len(rows)
