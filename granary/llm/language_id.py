@@ -230,19 +230,25 @@ def _cutoffs(sizes: list[int], sample: int) -> list[int]:
     return out
 
 
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """About `sample` rows of (doc_id, text, lang), dealt evenly over the languages, of which each
+    has at least one, chosen by a hash of doc_id and text. So rows without a doc_id are chosen like
+    others; only rows that repeat both are chosen together."""
+    key = F.xxhash64(F.lit(5), "doc_id", "text")
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(key).alias("least")).collect()
+    if sum(r["n"] for r in found) <= sample:
+        return labelled
+    rows = [(r["lang"], max(r["least"], most)) for r, most in zip(found, _cutoffs([r["n"] for r in found], sample), strict=True)]
+    cutoffs = labelled.sparkSession.createDataFrame(rows, "lang string, most long")
+    return labelled.join(F.broadcast(cutoffs), "lang").where(key <= F.col("most"))
+
+
 def train(docs: DataFrame, file: str, sample: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
-    """Learns from text and lang of labelled documents that are not held out: a sample by a hash
-    of doc_id of about `sample` documents, dealt evenly over the languages; every language has at
-    least one. Words are counted in Spark; each round's expected
+    """Learns from text and lang of labelled documents that are not held out, `sampled`. Words are counted in Spark; each round's expected
     counts are summed there, and |pieces| * |languages| numbers reach the driver."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    key = F.xxhash64("doc_id", F.lit(5))
-    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(key).alias("least")).collect()
-    picked = labelled
-    if sum(r["n"] for r in found) > sample:
-        rows = [(r["lang"], max(r["least"], most)) for r, most in zip(found, _cutoffs([r["n"] for r in found], sample), strict=True)]
-        picked = labelled.join(F.broadcast(spark.createDataFrame(rows, "lang string, most long")), "lang").where(key <= F.col("most"))
+    picked = sampled(labelled, sample)
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

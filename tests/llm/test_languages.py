@@ -116,3 +116,12 @@ def test_samples_are_dealt_evenly():
     sizes = [6_000_000, 10, 40_000, 100]
     kept = [share(c) * n for c, n in zip(language_id._cutoffs(sizes, 20_000), sizes, strict=True)]
     assert np.allclose(kept, [9945, 10, 9945, 100], atol=1e-3)
+
+
+def test_rows_without_a_doc_id_are_sampled_like_others(spark):
+    rows = [(None, f"text {i}", "en") for i in range(4000)] + [(i, "one text", "en") for i in range(4000)] + [(1, "un texte", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language_id.sampled(docs, 401).groupBy("lang", F.col("doc_id").isNull().alias("unnamed")).count().collect()
+    counts = {(r["lang"], r["unnamed"]): r["count"] for r in kept}
+    assert counts["fr", False] == 1 and all(140 < counts["en", x] < 260 for x in (True, False))
+    assert language_id.sampled(docs, 8001).count() == 8001
