@@ -297,7 +297,11 @@ _DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n
 def digests(docs: DataFrame, file: str, with_ids: bool = False) -> DataFrame:
     """Encodes with an end id, decodes again, and gives per row: doc_id, n_tokens, digests of
     the ids and of the decoded text, the crc32 of the spans' ends (little-endian u32) and, if
-    asked for, the ids."""
+    asked for, the ids.
+
+    A null or empty text has the end id alone and decodes to an empty text. Texts are read whole,
+    however long. Rows that repeat a doc_id or a text, or have no doc_id, are rows like others.
+    Other columns are ignored; an empty table gives an empty result."""
     schema = T.StructType([*_DIGESTS.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if with_ids else _DIGESTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -515,3 +515,22 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert sorted(((r["doc_id"], r["ids"]) for r in got), key=repr) == sorted(((i, [*library.encode(t), 2]) for i, t in want), key=repr)
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Columns named as results take them, others keep their values."""
+    import corpus_pipeline
+
+    pick = random.Random(26)
+    texts = [" ".join(f"w{pick.randint(0, 10**6)}" for _ in range(60)) for _ in range(4)]
+    wide = documents(spark, texts).withColumns({"n_hit": F.lit("mine"), "contaminated": F.lit(True), "part": F.lit(7), "sha": F.lit("s"), "links": F.lit(None).cast("string")})
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = wide
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == wide.columns
+    rows = docs.orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["n_words"], r["kept"], r["n_lines"], r["n_hit"], r["contaminated"]) for r in rows] == [(i, t, 60, True, 1, 0, False) for i, t in enumerate(texts)]
+    assert {(r["part"], r["sha"], r["links"]) for r in rows} == {(7, "s", None)}
+    assert corpus_pipeline.pieces(spark, docs, str(tmp_path)).count() == 4
