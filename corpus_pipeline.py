@@ -2,6 +2,13 @@
 
 Every stage takes what its predecessor kept. All but the last return the columns of documents;
 the last returns ids, their digests and the digest of the decoded text.
+
+Other columns of documents are passed on up to the last stage; one that is named as a result of
+a stage (kept, n_words, n_lines, n_hit, ...) holds that result afterwards. Null and empty
+texts fail the quality rules, so the later stages see none but those that line dedup empties.
+These have no words: near duplicates keeps them all, decontamination finds nothing in them and
+they have the end id alone. Rows with a null or repeated doc_id are told apart by their texts;
+of rows equal in both one stays. Texts are read whole, and empty tables give an empty result.
 """
 
 from __future__ import annotations
